@@ -81,7 +81,7 @@ def has_all(column: str | Column, values: Sequence[str], ignore_case: bool = Fal
     """The array holds every one of ``values``."""
     column = F.col(column) if isinstance(column, str) else column
     if ignore_case:
-        column = F.transform(column, F.lower)
+        column = F.transform(column, lambda x: F.lower(x))
         values = [v.lower() for v in values]
     return F.size(F.array_except(string_array(values), column)) == 0
 

@@ -27,7 +27,7 @@ def ellipsize(column: Column, keep: int, limit: int | None = None) -> Column:
 
 def split_csv(column: Column) -> Column:
     """Comma-separated text as an array of trimmed, non-empty parts; NULL gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(column, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

@@ -79,7 +79,7 @@ def histogram(df: DataFrame, value: str = SCORE, bins: int = 20) -> DataFrame:
 def daily_series(df: DataFrame, min_rows: int = 50) -> DataFrame:
     """Daily means per ticker from its first to its last day (NULL on empty days); tickers with at most
     ``min_rows`` rows give their raw points instead."""
-    daily = df.groupBy("ticker", F.date_trunc("day", "ts").alias("day")).agg(
+    daily = df.groupBy("ticker", F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(
         exact_mean(SCORE).alias("mean_score"), F.count("*").alias("_n"))
     spans = daily.groupBy("ticker").agg(F.min("day").alias("_first"), F.max("day").alias("_last"), F.sum("_n").alias("_rows"))
     calendar = (spans.where(F.col("_rows") > min_rows)

@@ -41,7 +41,7 @@ EVENT_FLAT = T.StructType([
 
 RAW_NEWS = T.StructType([
     T.StructField("category", _S),
-    T.StructField("datetime", T.LongType()),
+    T.StructField("datetime", _S),  # epoch seconds or ISO text
     T.StructField("headline", _S),
     T.StructField("id", T.LongType()),
     T.StructField("image", _S),
