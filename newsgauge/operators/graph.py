@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgauge.functions import vocab
 from newsgauge.functions.rules import violations
+from newsgauge.session import staged
 
 
 def latest_edges(log: DataFrame, tie: str | None = None) -> DataFrame:
@@ -48,55 +49,173 @@ def impact_bands(edges: DataFrame) -> DataFrame:
     return edges.withColumn("band", F.when(score >= 70, "high").when(score >= 30, "moderate").otherwise("low"))
 
 
-def propagation_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, min_impact: float = 0.0) -> DataFrame:
-    """All simple paths of at most ``max_depth`` edges from every seed (column ``id``) and their impact.
+def decay(depth: int) -> float:
+    """What the product of ``depth`` edge scores (0..100) is worth: 100 / 100**depth, and 0.7**i for the i-th edge."""
+    return 100.0 * 0.7 ** (depth * (depth - 1) // 2) / 100.0 ** depth
+
+
+def _number(max_depth: int) -> str:
+    """Type that holds products of scores, and their sums, without rounding."""
+    return "bigint" if max_depth <= 4 else "decimal(38,0)"
+
+
+def _hops(edges: DataFrame, max_depth: int) -> DataFrame:
+    return edges.select(F.col("source_id").alias("_from"), F.col("target_id").alias("_to"),
+                        F.col("impact_score").cast(_number(max_depth)).alias("_w"))
 
-    The impact of a path is 100 times the product of its edge scores / 100, the i-th edge (from 0) weighted
-    by 0.7**i. It only shrinks with length, so ``min_impact`` may prune: it also drops nothing above it.
-    One equi-join per hop; a hub's partition is split by the adaptive skew join.
+
+def _simple_paths(hop: DataFrame, seeds: DataFrame, max_depth: int, min_impact: float = 0.0) -> list[DataFrame]:
+    """Simple paths from the seeds, one table per depth: (source_id, end_id, path, product of edge scores).
+
+    One equi-join per hop; where many paths meet in a hub, its partition is split by the adaptive skew join.
+    Levels grow many-fold per hop, so working a shorter level out again costs little next to the longest one.
     """
-    hop = edges.select(F.col("source_id").alias("_from"), F.col("target_id").alias("_to"),
-                       (F.col("impact_score") / 100).alias("_w"))
-    paths = (hop.join(seeds.select(F.col("id").alias("_from")), "_from", "left_semi")
+    paths = (hop.join(seeds.select(F.col("id").alias("_from")).distinct(), "_from", "left_semi")
              .select(F.col("_from").alias("source_id"), F.col("_to").alias("end_id"),
-                     F.array("_from", "_to").alias("path"), F.col("_w").alias("_p")))
-    found = paths
-    for i in range(1, max_depth):
+                     F.array("_from", "_to").alias("path"), F.col("_w").alias("product"))
+             .where(F.col("source_id") != F.col("end_id")))
+    levels = [paths]
+    for depth in range(2, max_depth + 1):
         if min_impact > 0:
-            paths = paths.where(F.col("_p") * 100 >= min_impact)
+            paths = paths.where(F.col("product") * decay(depth - 1) >= min_impact)
         paths = (paths.join(hop, F.col("end_id") == F.col("_from"))
                  .where(~F.array_contains("path", F.col("_to")))
-                 .select("source_id", F.col("_to").alias("end_id"),
-                         F.concat("path", F.array("_to")).alias("path"),
-                         (F.col("_p") * F.col("_w") * F.lit(0.7 ** i)).alias("_p")))
-        found = found.unionByName(paths)
-    out = found.select("source_id", "end_id", "path", (F.size("path") - 1).alias("depth"), (F.col("_p") * 100).alias("impact"))
+                 .select("source_id", F.col("_to").alias("end_id"), F.concat("path", F.array("_to")).alias("path"),
+                         (F.col("product") * F.col("_w")).cast(_number(max_depth)).alias("product")))
+        levels.append(paths)
+    return levels
+
+
+def propagation_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, min_impact: float = 0.0) -> DataFrame:
+    """All simple paths of at most ``max_depth`` edges from every seed (column ``id``) and their impact.
+
+    The impact of a path is 100 times the product of its edge scores / 100, the i-th edge (from 0) weighted by
+    0.7**i. It only shrinks with length, so pruning by ``min_impact`` loses no path at or above it.
+    """
+    levels = _simple_paths(staged(_hops(edges, max_depth)), seeds, max_depth, min_impact)
+    out = None
+    for depth, paths in enumerate(levels, 1):
+        rows = paths.select("source_id", "end_id", "path", F.lit(depth).alias("depth"),
+                            (F.col("product").cast("double") * F.lit(decay(depth))).alias("impact"))
+        out = rows if out is None else out.unionByName(rows)
     return out.where(F.col("impact") >= min_impact) if min_impact > 0 else out
 
 
 def propagation_total(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Affected nodes and total propagated impact per seed. Paths meet pre-summed by end node."""
-    ends = (propagation_paths(edges, seeds, max_depth).groupBy("source_id", "end_id")
-            .agg(F.count("*").alias("n"), F.sum("impact").alias("impact")))
-    return ends.groupBy("source_id").agg(
-        F.count("*").alias("nodes_affected"), F.sum("n").cast("long").alias("paths"), F.sum("impact").alias("total_impact"))
+    """Affected nodes, paths and total propagated impact per seed, without listing the longest paths.
+
+    The last hop, by far the largest, is summed in closed form: what leaves a path's end in all, less the edges
+    that would return to the path. Products are summed as integers, so the total does not depend on order.
+    """
+    hop = staged(_hops(edges, max_depth))
+    levels = _simple_paths(hop, seeds, max_depth - 1) if max_depth > 1 else []
+    exact = _number(max_depth)
+    if levels:
+        levels[-1] = staged(levels[-1])
+    sums = []
+    for depth, paths in enumerate(levels, 1):
+        sums.append(paths.groupBy("source_id").agg(F.sum("product").cast(exact).alias("_s"), F.count("*").alias("_n"))
+                    .withColumn("_depth", F.lit(depth)))
+    if levels:
+        last = levels[-1]
+        leaving = hop.groupBy("_from").agg(F.sum("_w").cast(exact).alias("_w"), F.count("*").alias("_n"))
+        ahead = last.join(leaving, F.col("end_id") == F.col("_from")).select(
+            "source_id", (F.col("product") * F.col("_w")).cast(exact).alias("_s"), "_n")
+        back = (last.select("source_id", F.col("end_id").alias("_from"), F.explode("path").alias("_to"), "product")
+                .join(hop, ["_from", "_to"])
+                .select("source_id", (-F.col("product") * F.col("_w")).cast(exact).alias("_s"), F.lit(-1).cast("long").alias("_n")))
+        sums.append(ahead.unionByName(back).groupBy("source_id").agg(F.sum("_s").cast(exact).alias("_s"), F.sum("_n").alias("_n"))
+                    .withColumn("_depth", F.lit(max_depth)))
+    else:
+        first = _simple_paths(hop, seeds, 1)[0]
+        sums.append(first.groupBy("source_id").agg(F.sum("product").cast(exact).alias("_s"), F.count("*").alias("_n"))
+                    .withColumn("_depth", F.lit(1)))
+    per_depth = sums[0]
+    for s in sums[1:]:
+        per_depth = per_depth.unionByName(s)
+    parts = [F.coalesce(F.max(F.when(F.col("_depth") == d, F.col("_s"))).cast("double"), F.lit(0.0)) * F.lit(decay(d))
+             for d in range(1, max_depth + 1)]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    totals = per_depth.groupBy("source_id").agg(F.sum("_n").cast("long").alias("paths"), total.alias("total_impact"))
+    near = _reach(hop, seeds, max_depth).where(F.col("depth") > 0)
+    return totals.join(near.groupBy(F.col("center").alias("source_id")).agg(F.count("*").alias("nodes_affected")), "source_id")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(center, node, depth): every node within ``max_depth`` hops, at its smallest distance.
+    """(center, node, depth): every node within ``max_depth`` hops, at its smallest distance."""
+    return _reach(staged(_hops(edges, 1)), seeds, max_depth)
 
-    Each hop joins only the newest frontier and keeps nodes not seen before.
-    """
-    hop = edges.select(F.col("source_id").alias("_from"), F.col("target_id").alias("_to")).distinct()
-    seen = seeds.select(F.col("id").alias("center"), F.col("id").alias("node"), F.lit(0).alias("depth"))
+
+def _reach(hop: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """Each hop joins only the newest frontier and keeps nodes not seen before."""
+    frontier = seeds.select(F.col("id").alias("center"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0))
+    seen = frontier
     for d in range(1, max_depth + 1):
-        fresh = (seen.where(F.col("depth") == d - 1).join(hop, F.col("node") == F.col("_from"))
+        fresh = (frontier.join(hop, F.col("node") == F.col("_from"))
                  .select("center", F.col("_to").alias("node")).distinct()
+                 .join(seen.select("center", "node"), ["center", "node"], "left_anti")
                  .withColumn("depth", F.lit(d)))
-        seen = seen.unionByName(fresh).groupBy("center", "node").agg(F.min("depth").alias("depth"))
+        frontier = staged(fresh) if 1 < d < max_depth else fresh
+        seen = seen.unionByName(frontier)
     return seen
 
 
+def _levels(ego: DataFrame, max_level: int) -> list[DataFrame]:
+    """Breadth-first levels from every node of every ego network: (center, start, node, paths), one table per level.
+
+    ``paths`` counts the shortest paths from ``start``. A neighbour of a level lies in it or in one beside it, so a
+    fresh node needs to be told only from the last two levels.
+    """
+    both = ego.select("center", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                                                  F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("center", "e.u", "e.v")
+    both = staged(both)
+    start = both.select("center", F.col("u").alias("start")).distinct().withColumns({"node": F.col("start"), "paths": F.lit(1.0)})
+    levels = [staged(start)]
+    key = ["center", "start", "node"]
+    for _ in range(max_level):
+        last = levels[-1]
+        fresh = (last.join(both, (last["center"] == both["center"]) & (last["node"] == both["u"]))
+                 .groupBy(last["center"], "start", F.col("v").alias("node")).agg(F.sum("paths").alias("paths")))
+        for seen in levels[-2:]:
+            fresh = fresh.join(seen.select(*key), key, "left_anti")
+        levels.append(staged(fresh))
+    return [both, *levels]
+
+
+def betweenness(ego: DataFrame, max_depth: int) -> DataFrame:
+    """Unnormalised betweenness of every node within every ego network (rows of :func:`ego_edges`).
+
+    Shortest paths are counted from all nodes of all networks at once and credits handed back level by level.
+    Work is spread by (network, start), so a large network is shared by many tasks. Two nodes of an ego network
+    are at most 2 * (max_depth + 1) hops apart.
+    """
+    both, *levels = _levels(ego, 2 * (max_depth + 1))
+    credit = levels[-1].withColumn("credit", F.lit(0.0))
+    total = None
+    for above in reversed(levels[1:-1]):
+        part = credit.groupBy("center", "node").agg(F.sum("credit").alias("credit"))
+        total = part if total is None else total.unionByName(part)
+        c = credit.select("center", "start", F.col("node").alias("_w"), ((1 + F.col("credit")) / F.col("paths")).alias("_share"))
+        back = (c.join(both, (c["center"] == both["center"]) & (c["_w"] == both["u"]))
+                .select(c["center"], "start", F.col("v").alias("node"), "_share"))
+        given = back.join(above, ["center", "start", "node"]).groupBy("center", "start", "node").agg(
+            (F.max("paths") * F.sum("_share")).alias("credit"))
+        credit = staged(above.join(given, ["center", "start", "node"], "left")
+                             .withColumn("credit", F.coalesce("credit", F.lit(0.0))))
+    total = total.unionByName(credit.groupBy("center", "node").agg(F.sum("credit").alias("credit")))
+    nodes = levels[0].select("center", F.col("node")).distinct().withColumn("credit", F.lit(0.0))
+    return total.unionByName(nodes).groupBy("center", "node").agg((F.sum("credit") / 2).alias("betweenness"))
+
+
+def most_central(scores: DataFrame) -> DataFrame:
+    """The node of highest betweenness per network, lowest id on a tie (scores equal to nine digits)."""
+    rounded = F.round("betweenness", 9)
+    return scores.groupBy("center").agg(
+        F.min_by("node", F.struct(-rounded, F.col("node"))).alias("most_central_node"), F.max(rounded).alias("betweenness"))
+
+
 def ego_edges(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
     """Undirected edges of every ego network: all edges that leave a node within ``max_depth`` hops.
 

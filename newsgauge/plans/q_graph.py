@@ -40,26 +40,31 @@ def impact_bands(t):
 
 
 _PATHS = """WITH RECURSIVE paths AS (
-  SELECT source_id, target_id AS end_id, [source_id, target_id] AS path, 1 AS depth, impact_score / 100 AS p FROM edge
-  UNION ALL SELECT p.source_id, e.target_id, list_append(p.path, e.target_id), depth + 1, p * (impact_score / 100) * pow(0.7, depth)
+  SELECT source_id, target_id AS end_id, [source_id, target_id] AS path, 1 AS depth, CAST(impact_score AS HUGEINT) AS product FROM edge
+  UNION ALL SELECT p.source_id, e.target_id, list_append(p.path, e.target_id), depth + 1, product * impact_score
   FROM paths p JOIN edge e ON e.source_id = p.end_id WHERE depth < 3 AND NOT list_contains(p.path, e.target_id)) """
+_DECAY = "CASE depth " + " ".join(f"WHEN {d} THEN {G.decay(d)!r}::DOUBLE" for d in (1, 2, 3)) + " END"
 
 
 def seeds(t):
     return t.edge.select(F.col("source_id").alias("id")).distinct()
 
 
-@query("propagation_paths", "edge", _PATHS + """
-SELECT source_id, end_id, depth, array_to_string(path, '>') AS path, round(p * 100, 6) AS impact FROM paths""")
+@query("propagation_paths", "edge", _PATHS + f"""
+SELECT source_id, end_id, depth, array_to_string(path, '>') AS path, CAST(product AS DOUBLE) * {_DECAY} AS impact FROM paths""")
 def propagation_paths(t):
     return G.propagation_paths(t.edge, seeds(t)).select(
-        "source_id", "end_id", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.round("impact", 6).alias("impact"))
+        "source_id", "end_id", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "impact")
 
 
-@query("propagation_total", "edge", _PATHS + """
-SELECT source_id, count(DISTINCT end_id) AS nodes_affected, count(*) AS paths, round(sum(p * 100), 6) AS total_impact FROM paths GROUP BY source_id""")
+@query("propagation_total", "edge", _PATHS + f""",
+d AS (SELECT source_id, depth, count(*) AS n, CAST(sum(product) AS DOUBLE) * {_DECAY} AS s FROM paths GROUP BY source_id, depth),
+e AS (SELECT source_id, count(DISTINCT end_id) AS nodes_affected FROM paths GROUP BY source_id)
+SELECT source_id, any_value(nodes_affected) AS nodes_affected, CAST(sum(n) AS BIGINT) AS paths,
+  coalesce(max(s) FILTER (depth = 1), 0) + coalesce(max(s) FILTER (depth = 2), 0) + coalesce(max(s) FILTER (depth = 3), 0) AS total_impact
+FROM d JOIN e USING (source_id) GROUP BY source_id""")
 def propagation_total(t):
-    return G.propagation_total(t.edge, seeds(t)).withColumn("total_impact", F.round("total_impact", 6))
+    return G.propagation_total(t.edge, seeds(t))
 
 
 _REACH = """WITH h0 AS (SELECT DISTINCT source_id AS center, source_id AS node FROM edge),
@@ -93,6 +98,31 @@ def ego_relation_counts(t):
     return G.ego_edges(t.edge, seeds(t), 2).groupBy("center", "rel_type").agg(F.count("*").alias("n"))
 
 
+def _central_sql():
+    """Betweenness by levels: up to four hops in networks of depth 1, credits handed back from the farthest level."""
+    out = ["""h0 AS (SELECT DISTINCT source_id AS center, source_id AS node FROM edge)""",
+           """h1 AS (SELECT center, node FROM h0 UNION SELECT center, target_id FROM h0 JOIN edge ON source_id = node)""",
+           """ego AS (SELECT DISTINCT center, least(node, target_id) AS a, greatest(node, target_id) AS b FROM h1 JOIN edge ON source_id = node)""",
+           """g AS (SELECT center, a AS u, b AS v FROM ego UNION ALL SELECT center, b, a FROM ego)""",
+           """l0 AS (SELECT DISTINCT center, u AS start, u AS node, 1.0::DOUBLE AS paths FROM g)"""]
+    for i in range(1, 5):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM l{j} s WHERE s.center = x.center AND s.start = x.start AND s.node = x.node)" for j in (i - 1, i - 2) if j >= 0)
+        out.append(f"""l{i} AS (SELECT * FROM (SELECT l.center, l.start, g.v AS node, sum(l.paths) AS paths FROM l{i - 1} l JOIN g ON g.center = l.center AND g.u = l.node GROUP BY ALL) x
+  WHERE true {seen})""")
+    out.append("c4 AS (SELECT *, 0.0::DOUBLE AS credit FROM l4)")
+    for i in (3, 2, 1):
+        out.append(f"""c{i} AS (SELECT l.center, l.start, l.node, l.paths, coalesce(l.paths * sum((1 + c.credit) / c.paths), 0) AS credit FROM l{i} l
+  LEFT JOIN (c{i + 1} c JOIN g ON g.center = c.center AND g.u = c.node) ON c.center = l.center AND c.start = l.start AND g.v = l.node GROUP BY l.center, l.start, l.node, l.paths)""")
+    parts = " UNION ALL ".join(f"SELECT center, node, credit FROM c{i}" for i in (1, 2, 3, 4)) + " UNION ALL SELECT center, node, 0 FROM l0"
+    out.append(f"b AS (SELECT center, node, round(sum(credit) / 2, 9) AS betweenness FROM ({parts}) GROUP BY ALL)")
+    return "WITH " + ",\n".join(out) + "\nSELECT center, arg_min(node, (-betweenness, node)) AS most_central_node, max(betweenness) AS betweenness FROM b GROUP BY center"
+
+
+@query("ego_central", "edge", _central_sql())
+def ego_central(t):
+    return G.most_central(G.betweenness(G.ego_edges(t.edge, seeds(t), 1), 1))
+
+
 @query("relation_distribution", "edge", """
 SELECT rel_type, n, CAST(floor(n / max(n) OVER () * 40) AS BIGINT) AS bar FROM (SELECT rel_type, count(*) AS n FROM edge GROUP BY rel_type)""")
 def relation_distribution(t):

@@ -221,9 +221,11 @@ def sentiment_flatten(t):
 
 
 @query("score_text_choice", "raw_news", """
-SELECT doc_id AS id, substr(CASE WHEN trim(headline) <> '' THEN headline WHEN trim(summary) <> '' THEN summary END, 1, 1024) AS text FROM raw_news""")
+SELECT doc_id AS id, text, substr(text, 1, 1024) AS model_input FROM (SELECT doc_id,
+  CASE WHEN trim(headline) <> '' THEN headline WHEN trim(summary) <> '' THEN summary END AS text FROM raw_news)""")
 def score_text_choice(t):
-    return news(t).select("id", X.score_text(F.col("headline"), F.col("summary")).alias("text"))
+    headline, summary = F.col("headline"), F.col("summary")
+    return news(t).select("id", X.score_text(headline, summary).alias("text"), X.score_text(headline, summary, 1024).alias("model_input"))
 
 
 @query("related_to_tickers", "raw_news", """

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under :func:`shared_dir`."""
     return os.path.join(shared_dir(spark), f"newsgauge-{label}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage of iterative work.
+
+    What is used several times is computed once, a lost executor does not set the work back, and the file sizes
+    tell the optimizer whether the table is small enough to broadcast.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
