@@ -69,6 +69,15 @@ def ntz_to_epoch(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def ntz_to_instant(ts: Column) -> Column:
+    """A UTC timestamp without zone as the instant it names; streams need instants for watermarks."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts))
+
+
+def instant_to_ntz(ts: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def iso_to_ntz(text: Column) -> Column:
     """ISO text, with or without a trailing ``Z`` or offset, as UTC; NULL when it cannot be read."""
     zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))

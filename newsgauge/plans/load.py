@@ -10,7 +10,7 @@ from newsgauge.functions.labels import label3
 from newsgauge.operators import summaries
 from newsgauge.plans import registry, views
 
-MODULES = ("q_finds", "q_summaries", "q_ingest", "q_quality", "q_items", "q_telemetry", "q_graph", "q_scoring")
+MODULES = ("q_finds", "q_summaries", "q_ingest", "q_quality", "q_items", "q_telemetry", "q_graph", "q_scoring", "q_streaming")
 
 
 def _load() -> None:
