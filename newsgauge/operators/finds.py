@@ -78,4 +78,4 @@ def retries_due(queue: DataFrame, as_of) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows chosen by a seeded hash of the key: repeatable, and a top-n rather than a sort."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(n)

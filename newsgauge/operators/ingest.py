@@ -6,29 +6,41 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from newsgauge import schemas
 from newsgauge.functions.labels import label5
-from newsgauge.functions.rules import Rule, split_valid
+from newsgauge.functions.rules import Rule, split_valid, with_errors
 from newsgauge.functions.text import epoch_to_ntz, iso_to_ntz, stable_id
 
 _EMPTY = "map<string,string>"
 
 
+def json_columns(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
+    """The fields of a JSON text as columns behind those of ``df``, and ``_corrupt`` for a text that is no JSON object.
+
+    ``inline`` makes the fields columns of their own; as parts of one expression the optimizer would copy the parse
+    into every filter and column that uses it.
+    """
+    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    return df.select("*", F.inline(F.array(F.from_json(payload, full, {"columnNameOfCorruptRecord": "_corrupt"}))))
+
+
 def parse_news(raw: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(items, rejects): JSON texts to columns; a text that is no JSON object goes to the rejects."""
-    schema = T.StructType([*schemas.RAW_NEWS.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = raw.withColumn("_n", F.from_json(payload, schema, {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("_n").isNull() | F.col("_n._corrupt").isNotNull()
-    keep = [c for c in raw.columns if c != payload]
-    items = parsed.where(~bad).select(*keep, *[F.col(f"_n.{f.name}").alias(f.name) for f in schemas.RAW_NEWS.fields])
-    return items, parsed.where(bad).select(*raw.columns)
+    parsed = json_columns(raw, payload, schemas.RAW_NEWS)
+    bad = F.col(payload).isNull() | F.col("_corrupt").isNotNull()
+    return parsed.where(~bad).drop(payload, "_corrupt"), parsed.where(bad).select(*raw.columns)
 
 
 ADMISSION = ("datetime", "headline", "summary", "url", "source")
 
 
+def admission(items: DataFrame) -> DataFrame:
+    """Items with the names of their missing required fields in ``errors``; admitted items have none."""
+    return with_errors(items, [(c, F.col(c).isNull()) for c in ADMISSION])
+
+
 def admit_news(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items with every required field, the others with the names of their missing fields)."""
-    rules: list[Rule] = [(c, F.col(c).isNull()) for c in ADMISSION]
-    return split_valid(items, rules)
+    checked = admission(items)
+    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 
 def event_time(value: Column) -> Column:
@@ -109,9 +121,7 @@ def sentiment_fanout(payloads: DataFrame) -> DataFrame:
 
 
 def parse_vendor_sentiment(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    keep = [c for c in raw.columns if c != payload]
-    return (raw.withColumn("_v", F.from_json(payload, schemas.VENDOR_SENTIMENT))
-            .select(*keep, *[F.col(f"_v.{f.name}").alias(f.name) for f in schemas.VENDOR_SENTIMENT.fields]))
+    return json_columns(raw, payload, schemas.VENDOR_SENTIMENT).drop(payload, "_corrupt")
 
 
 def sentiment_flatten(payloads: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def news_compact(t):
     return finds.compact_news(t.market_event.withColumn("ticker", F.col("tickers")[0]), 10)
 
 
-@query("sample_headlines")
+@query("sample_headlines", "market_event", "SELECT id, headline, source FROM market_event ORDER BY md5('7:' || id), id LIMIT 5")
 def sample_headlines(t):
     return finds.sample_rows(t.market_event.select("id", "headline", "source"), "id", 5, seed=7)
 

@@ -106,9 +106,7 @@ SELECT doc_id AS id, array_to_string(list_filter([CASE WHEN datetime IS NULL THE
   CASE WHEN summary IS NULL THEN 'summary' END, CASE WHEN url IS NULL THEN 'url' END, CASE WHEN source IS NULL THEN 'source' END],
   lambda x: x IS NOT NULL), ',') AS missing FROM raw_news""")
 def admit_news(t):
-    good, rejects = I.admit_news(news(t))
-    return (good.select("id", F.lit("").alias("missing"))
-            .unionByName(rejects.select("id", F.array_join("errors", ",").alias("missing"))))
+    return I.admission(news(t)).select("id", F.array_join("errors", ",").alias("missing"))
 
 
 _NEWS_EVENTS = """SELECT ticker, TIMESTAMP '1970-01-01' + to_seconds(CAST(datetime AS DOUBLE)) AS ts, 'news' AS event_type, headline AS title,

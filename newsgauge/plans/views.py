@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def _ticker(column: Column | str) -> Column:
@@ -42,6 +43,9 @@ _EVENT_KINDS = ["click", "error", "purchase", "signup", "view"]
 EPOCH = "1970-01-01 00:00:00"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     """Base tables as attributes (``t.events``) and the domain views built on them."""
 
@@ -52,7 +56,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:  # read the footer once, not once per query
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def sentiment(self) -> DataFrame:
