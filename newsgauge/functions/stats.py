@@ -80,31 +80,26 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return out.drop("_all")
 
 
-def number_in_chunks(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence[Column],
-                     number: str, following: dict[str, str] | None = None) -> DataFrame:
-    """Running number per key, and for each ``following`` entry (output: column) the next row's value.
+def number_in_chunks(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence[str],
+                     number: str, following: str) -> DataFrame:
+    """Running number per key in ascending ``order``, and the leading order column of the key's next row.
 
     The same as ``row_number`` and ``lead`` over the whole key, but a key with many rows is worked on chunk by
-    chunk: ``chunk`` must rise with ``order``. Only one summary row per (key, chunk) meets in one task.
+    chunk: ``chunk`` must rise with the leading order column. Only one summary row per (key, chunk) meets in one
+    task.
     """
-    following = following or {}
+    lead = order[0]
     df = df.withColumn("_chunk", chunk)
     inner = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    firsts = [F.min_by(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(following.values())]),
-                       F.struct(*order)).alias("_first")] if following else []
     across = Window.partitionBy(*key).orderBy("_chunk")
-    chunks = df.groupBy(*key, "_chunk").agg(F.count("*").alias("_size"), *firsts)
-    chunks = chunks.withColumn(
-        "_before", F.coalesce(F.sum("_size").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if following:
-        chunks = chunks.withColumn("_next", F.lead("_first").over(across))
-    out = (df.join(chunks.drop("_size", "_first"), [*key, "_chunk"])
-           .withColumn(number, F.row_number().over(inner) + F.col("_before")))
-    if following:
-        out = out.withColumn("_last", F.lead(F.lit(False), 1, True).over(inner))
-        for i, (name, column) in enumerate(following.items()):
-            out = out.withColumn(name, F.when(F.col("_last"), F.col(f"_next._{i}")).otherwise(F.lead(column).over(inner)))
-    return out.drop("_chunk", "_before", "_next", "_last")
+    chunks = df.groupBy(*key, "_chunk").agg(F.count("*").alias("_size"), F.min(lead).alias("_first"))
+    chunks = chunks.select(
+        *key, "_chunk", F.lead("_first").over(across).alias("_next"),
+        F.coalesce(F.sum("_size").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return (df.join(chunks, [*key, "_chunk"])
+            .withColumns({number: F.row_number().over(inner) + F.col("_before"),
+                          following: F.coalesce(F.lead(lead).over(inner), F.col("_next"))})
+            .drop("_chunk", "_before", "_next"))
 
 
 def ranks_between(df: DataFrame, column: str, low: Column | int, high: Column | int, bins: int = 100_000) -> DataFrame:

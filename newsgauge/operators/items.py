@@ -253,14 +253,18 @@ def timeline(df: DataFrame, group: str, ts: str, width: int = 40) -> DataFrame:
     return df.join(ends, group).withColumn("position", slot).drop("_a", "_b")
 
 
-def operations_progress(operations: DataFrame, incomplete_only: bool = True) -> DataFrame:
-    """Operations (with an array of steps) and their step counts, newest first."""
-    ops = operations.where(~F.coalesce("completed", F.lit(False))) if incomplete_only else operations
-    step = F.get("steps", F.col("current_step"))
-    return ops.select(
-        "operation_id", "operation_type", "updated_at", F.size("steps").alias("total_steps"),
-        F.size(F.filter("steps", lambda s: s["status"] == "completed")).alias("completed_steps"),
-        step["name"].alias("current_step"), step["status"].alias("current_step_status"),
+def operations_progress(steps: DataFrame, incomplete_only: bool = True) -> DataFrame:
+    """Operations and their step counts, newest first, from one row per step.
+
+    ``steps`` holds operation_id, operation_type, updated_at, completed, current_step (from 0) and step_no, name,
+    status; documents that keep their steps in an array are exploded first. Steps are counted, never gathered.
+    """
+    rows = steps.where(~F.coalesce("completed", F.lit(False))) if incomplete_only else steps
+    current = F.col("step_no") == F.col("current_step")
+    return rows.groupBy("operation_id", "operation_type", "updated_at").agg(
+        F.count("step_no").alias("total_steps"), F.count_if(F.col("status") == "completed").alias("completed_steps"),
+        F.max(F.when(current, F.col("name"))).alias("current_step"),
+        F.max(F.when(current, F.col("status"))).alias("current_step_status"),
     ).orderBy(F.col("updated_at").desc(), "operation_id")
 
 

@@ -71,6 +71,11 @@ def event_issues() -> Column:
     return F.array_compact(F.concat(F.array(*head), per_ticker, F.array(*tail)))
 
 
+def digested(df: DataFrame, *columns: str) -> DataFrame:
+    """Long texts replaced by their SHA-256, so that a comparison moves 64 characters of each instead of the text."""
+    return df.withColumns({c: F.sha2(F.col(c), 256) for c in columns})
+
+
 def differences(source: DataFrame, target: DataFrame, issues: Column, key: str = "id") -> DataFrame:
     """Rows on both sides that differ, with their issues."""
     both = paired(source, target, key).where(F.col("s").isNotNull() & F.col("t").isNotNull())

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsgauge.functions import predicates as P
 from newsgauge.functions import vocab
 from newsgauge.functions.stats import exact_mean, exact_quantiles, exact_sum
-from newsgauge.functions.text import ntz_to_epoch
 
 BIN = "15 minutes"
 
@@ -96,18 +95,21 @@ def usage_stats(requests: DataFrame, as_of, limit: int, period_seconds: int, sha
 def rate_limits(requests: DataFrame, limit: int, period_seconds: int) -> DataFrame:
     """Each request with the number of requests of its (client, endpoint) in the period up to it, limited or not.
 
-    A window over (client, endpoint) would give a busy client to one task. Time is cut into cells of one period;
-    a row is also shown to the next cell, so that every cell holds all rows its own rows must look back on.
+    Every request counts from its time on and stops counting one period later, so the number is a running sum of
+    +1 and -1, which is linear where a sliding frame would go through its rows again for each request. Time is cut
+    into cells of one period, so that a busy client is shared by many tasks: the -1 of a request lies in the cell
+    after its own, and a cell starts with as many live requests as will stop counting in it.
     """
-    cell = F.floor(ntz_to_epoch(F.col("ts")) / period_seconds)
-    spread = requests.withColumn("_cell", cell).select("*", F.explode(F.array("_cell", F.col("_cell") + 1)).alias("_at"))
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    w = (Window.partitionBy("client", "endpoint", "_at").orderBy("_us")
-         .rangeBetween(-(period_seconds * 1_000_000 - 1), Window.currentRow))
-    counted = spread.withColumn("_us", micros).withColumn("request_count", F.count("*").over(w))
-    own = counted.where(F.col("_at") == F.col("_cell"))
+    period = int(period_seconds) * 1_000_000
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    steps = F.array(F.struct(at.alias("at"), F.lit(1).alias("delta")), F.struct((at + period).alias("at"), F.lit(-1).alias("delta")))
+    spread = requests.select("*", F.explode(steps).alias("_s")).withColumn("_cell", F.floor(F.col("_s.at") / period))
+    cell = Window.partitionBy("client", "endpoint", "_cell")
+    upto = cell.orderBy("_s.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    live = F.sum("_s.delta").over(upto) + F.count_if(F.col("_s.delta") < 0).over(cell)
+    own = spread.withColumn("request_count", live).where(F.col("_s.delta") > 0)
     return own.withColumns({"limited": F.col("request_count") >= limit,
-                            "remaining": F.greatest(F.lit(0), limit - F.col("request_count"))}).drop("_cell", "_at", "_us")
+                            "remaining": F.greatest(F.lit(0), limit - F.col("request_count"))}).drop("_s", "_cell")
 
 
 def retry_delay(attempt: Column, base: int = vocab.RETRY["base"], factor: int = vocab.RETRY["factor"], cap: int = vocab.RETRY["cap"]) -> Column:

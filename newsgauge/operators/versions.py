@@ -58,8 +58,7 @@ def scd2(changes: DataFrame, key: str = "id", ts: str = "ts", tie: str = "seq",
 
     Works through a key's history in time chunks, so that one key may hold any share of the rows.
     """
-    order = [F.col(ts), F.col(tie)]
-    out = number_in_chunks(changes, [key], F.date_trunc(chunk, ts), order, "version", {"valid_to": ts})
+    out = number_in_chunks(changes, [key], F.date_trunc(chunk, ts), [ts, tie], "version", "valid_to")
     return out.withColumns({"valid_from": F.col(ts), "is_current": F.col("valid_to").isNull(), "version": F.col("version").cast("long")})
 
 

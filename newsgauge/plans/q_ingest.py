@@ -264,13 +264,12 @@ def partition_layout_counts(t):
     return t.sentiment.select(F.explode(parts).alias("p")).groupBy("p.layout", "p.part").agg(F.count("*").alias("n"))
 
 
-@query("partitioned_write", "sentiment", "SELECT CAST(ts AS DATE) AS dt, ticker, count(*) AS n FROM sentiment WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY ALL")
+@query("partitioned_write", "sentiment", "SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, ticker, count(*) AS n FROM sentiment WHERE day(ts) >= 20 GROUP BY ALL")
 def partitioned_write(t):
-    """Written in the day and ticker layout and read back; the date filter prunes folders."""
+    """Written in the time layout and read back; the filter on the day prunes folders."""
     path = scratch_path(t.spark, "layout")
-    tables.write_partitioned(t.sentiment.select(*_FLAT), path, "day_ticker")
-    back = t.spark.read.parquet(path).where(F.col("dt") >= F.lit("2024-01-20").cast("date"))
-    return back.groupBy("dt", "ticker").agg(F.count("*").alias("n"))
+    tables.write_partitioned(t.sentiment.select(*_FLAT), path, "time")
+    return t.spark.read.parquet(path).where(F.col("day") >= 20).groupBy("year", "month", "day", "ticker").agg(F.count("*").alias("n"))
 
 
 @query("archive_roundtrip", "sentiment", "SELECT source, CAST(ts AS DATE) AS date, count(*) AS n FROM sentiment GROUP BY ALL")

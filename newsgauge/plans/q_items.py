@@ -233,17 +233,19 @@ def timeline_position(t):
 
 
 @query("operations_progress", "", """
-SELECT conv_id AS operation_id, 'chat' AS operation_type, max(turn) AS updated_at, CAST(count(*) AS INTEGER) AS total_steps,
-  CAST(count(*) FILTER (role = 'user') AS INTEGER) AS completed_steps, arg_min(role, turn) FILTER (turn >= 1) AS current_step,
-  CASE WHEN max(turn) >= 1 THEN CASE WHEN arg_min(role, turn) FILTER (turn >= 1) = 'user' THEN 'completed' ELSE 'pending' END END AS current_step_status
-FROM conversations GROUP BY conv_id HAVING conv_id % 2 = 0""")
+SELECT conv_id AS operation_id, 'chat' AS operation_type, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) AS updated_at, count(*) AS total_steps,
+  count(*) FILTER (role = 'user') AS completed_steps, max(role) FILTER (turn = 1) AS current_step,
+  max(CASE WHEN role = 'user' THEN 'completed' ELSE 'pending' END) FILTER (turn = 1) AS current_step_status
+FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id""")
 def operations_progress(t):
-    """Conversations as operations: their turns are the steps."""
-    step = F.struct("turn", F.col("role").alias("name"), F.when(F.col("role") == "user", "completed").otherwise("pending").alias("status"))
-    ops = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(step)).alias("steps"), F.max("turn").alias("updated_at")).select(
-        F.col("conv_id").alias("operation_id"), F.lit("chat").alias("operation_type"), "updated_at", "steps",
-        F.lit(1).alias("current_step"), (F.col("conv_id") % 2 != 0).alias("completed"))
-    return M.operations_progress(ops)
+    """Conversations as operations: their turns are the steps, and those with an even number are not complete."""
+    i = F.col("conv_id")
+    steps = t.conversations.select(
+        i.alias("operation_id"), F.lit("chat").alias("operation_type"),
+        F.timestamp_add("HOUR", i, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("updated_at"), (i % 2 != 0).alias("completed"),
+        F.lit(1).alias("current_step"), F.col("turn").alias("step_no"), F.col("role").alias("name"),
+        F.when(F.col("role") == "user", "completed").otherwise("pending").alias("status"))
+    return M.operations_progress(steps)
 
 
 @query("status_counts", "", """

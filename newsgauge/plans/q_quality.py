@@ -153,7 +153,7 @@ _DIFF_EVENT = """array_to_string(list_filter(list_concat([CASE WHEN s.headline <
 @query("diff_events", "market_event market_event_copy", f"""
 SELECT id, issues FROM (SELECT s.id, {_DIFF_EVENT} AS issues FROM market_event s JOIN market_event_copy t ON s.id = t.id) WHERE issues <> ''""")
 def diff_events(t):
-    return R.differences(t.market_event, t.market_event_copy, R.event_issues()).select("id", joined("issues").alias("issues"))
+    return R.differences(R.digested(t.market_event, "content"), R.digested(t.market_event_copy, "content"), R.event_issues()).select("id", joined("issues").alias("issues"))
 
 
 @query("reconcile_summary", "sentiment replica", f"""
@@ -172,7 +172,7 @@ SELECT (SELECT count(*) FROM market_event) AS source_count, (SELECT count(*) FRO
   (SELECT count(*) FROM market_event WHERE id NOT IN (SELECT id FROM market_event_copy)) AS missing_in_target, CAST(0 AS BIGINT) AS missing_in_source,
   (SELECT count(*) FROM c WHERE bad) AS difference_count, (SELECT count(*) FILTER (NOT bad) / count(*) * 100 FROM c) AS success_percentage""")
 def reconcile_events(t):
-    return R.summary(t.market_event, t.market_event_copy, R.event_issues())
+    return R.summary(R.digested(t.market_event, "content"), R.digested(t.market_event_copy, "content"), R.event_issues())
 
 
 @query("missing_ids", "sentiment replica", """

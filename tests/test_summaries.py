@@ -123,7 +123,7 @@ def test_numbers_in_chunks_equal_one_window(spark):
     rng = np.random.default_rng(1)
     rows = [("HOT" if i % 4 else f"k{i % 3}", int(t), i) for i, t in enumerate(rng.integers(0, 500, 400))]
     df = spark.createDataFrame(rows, "k string, t long, i long")
-    got = number_in_chunks(df, ["k"], F.floor(F.col("t") / 37), [F.col("t"), F.col("i")], "n", {"next_t": "t"})
+    got = number_in_chunks(df, ["k"], F.floor(F.col("t") / 37), ["t", "i"], "n", "next_t")
     p = pd.DataFrame(rows, columns=["k", "t", "i"]).sort_values(["k", "t", "i"])
     p["n"], p["next_t"] = p.groupby("k").cumcount() + 1, p.groupby("k").t.shift(-1)
     want = {(r.k, r.i): (r.n, None if pd.isna(r.next_t) else r.next_t) for r in p.itertuples()}
