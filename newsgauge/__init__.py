@@ -4,4 +4,11 @@ Every operator is a function ``DataFrame -> DataFrame`` or a ``Column`` builder,
 declarative plan; the incremental jobs in :mod:`newsgauge.streaming` are Structured Streaming queries.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their task, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
