@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgauge.llm import divergence, langid, minhash
+from newsgauge.llm import curriculum, divergence, langid, minhash, packing, shuffle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,67 @@ def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: two-word shingles, similarity of 0.8 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    """The tokenizer file of the packing query, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their place in sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@_query
+def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shard counts are at most one apart."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = shuffle.shard(docs, ["doc_id", "text_crc32", "size"], 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, in the order of first training positions."""
+    made = curriculum.plan(table(spark, sf_dir, "documents"))
+    return (made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"),
+                        F.array_min("positions").alias("position"))
+            .orderBy(F.col("position").asc_nulls_last()))
+
+
+ORACLES["op10_curriculum"] = """
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+  FROM documents),
+sources AS (
+  SELECT source, size, w, 2.0::DOUBLE * size AS most, place FROM (
+    SELECT source, size, place, [3.0, 1.0, 2.0][place + 1]::DOUBLE AS w FROM (
+      SELECT source, sum(size)::BIGINT AS size, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 AS place
+      FROM docs GROUP BY source))),
+levels AS (  -- the level, were the sources that fill up sooner full and no others
+  SELECT source, most / w AS own, (1.5::DOUBLE * sum(size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM sources WINDOW before AS (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goal AS (SELECT level FROM levels WHERE own >= level ORDER BY own, source LIMIT 1),
+targets AS (SELECT source, size AS source_size, place, least(most, level * w) AS target FROM sources, goal),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0::DOUBLE AS half
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+shares AS (
+  SELECT *, half / nullif(target, 0) AS x, (coalesce(half / nullif(target, 0) < 1, false)::BIGINT + coalesce((source_size + half) / nullif(target, 0) < 1, false)::BIGINT) AS copies
+  FROM placed)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, size * copies AS taken,
+  CASE WHEN copies = 0 THEN NULL
+       WHEN place = 0 THEN 2 * x / (1.5 + sqrt(2.25 - 2 * x))
+       WHEN place = 1 THEN x
+       WHEN x < 0.25 / 0.875 THEN x * 0.875 / 0.5
+       ELSE 0.5 + 2 * (x - 0.25 / 0.875) * 0.875 / (0.5 + sqrt(0.25 + 6 * (x - 0.25 / 0.875) * 0.875)) END AS position
+FROM shares"""
