@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgauge.llm import curriculum, divergence, langid, minhash, packing, shuffle
+from newsgauge.llm import curriculum, divergence, langid, minhash, packing, shuffle, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +73,7 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, in the order of first training positions."""
     made = curriculum.plan(table(spark, sf_dir, "documents"))
     return (made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"),
-                        F.array_min("positions").alias("position"))
+                        F.round(F.array_min("positions"), 9).alias("position"))
             .orderBy(F.col("position").asc_nulls_last()))
 
 
@@ -100,9 +100,33 @@ shares AS (
   SELECT *, half / nullif(target, 0) AS x, (coalesce(half / nullif(target, 0) < 1, false)::BIGINT + coalesce((source_size + half) / nullif(target, 0) < 1, false)::BIGINT) AS copies
   FROM placed)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, size * copies AS taken,
-  CASE WHEN copies = 0 THEN NULL
+  round(CASE WHEN copies = 0 THEN NULL
        WHEN place = 0 THEN 2 * x / (1.5 + sqrt(2.25 - 2 * x))
        WHEN place = 1 THEN x
        WHEN x < 0.25 / 0.875 THEN x * 0.875 / 0.5
-       ELSE 0.5 + 2 * (x - 0.25 / 0.875) * 0.875 / (0.5 + sqrt(0.25 + 6 * (x - 0.25 / 0.875) * 0.875)) END AS position
+       ELSE 0.5 + 2 * (x - 0.25 / 0.875) * 0.875 / (0.5 + sqrt(0.25 + 6 * (x - 0.25 / 0.875) * 0.875)) END, 9) AS position
 FROM shares"""
+
+
+@_query
+def op2_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op9_threshold_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+WHERE rank <= 20"""
+
+
+@_query
+def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best matches of every twentieth vector among all."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
