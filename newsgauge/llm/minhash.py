@@ -23,6 +23,8 @@ from newsgauge.session import drop_staged, staged
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _LOW = _U((1 << 40) - 1)
+#: Bands of up to so many documents are compared by joins, larger ones in blocks.
+_SMALL_BAND = 32
 _SALTS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
 
 
@@ -104,6 +106,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(check, "u bigint, v bigint")
 
 
+def _bitmap(shingles: np.ndarray) -> bytes:
+    """One bit for each shingle, in some 16 bits a shingle, 512 to 2**15 bits."""
+    bits = np.zeros(1 << min(15, max(9, (16 * len(shingles) - 1).bit_length())), np.uint8)
+    bits[(shingles & _U(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _possible(inside: DataFrame, sets: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+    """The pairs (u, v) of a band and of different labels, one of them not of the band's largest label, that bitmaps of their sets
+    leave possible.
+
+    A bit of one bitmap that the other lacks is a shingle the other lacks, so the bound on the intersection is sure and no
+    pair at ``percent`` is lost; what it rules out is never made a row. Both sides of a band are cut into blocks.
+    """
+    ids = inside.select("id").distinct()
+
+    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_bitmap(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(1)], pa.binary())],
+                                             names=["id", "bits"])
+
+    bits = staged(sets.join(ids, "id", "left_semi").mapInArrow(to_bits, "id bigint, bits binary"))
+    rows = inside.withColumns({"ni": F.ceil(F.col("size") / block).cast("int"), "nj": F.ceil(F.col("few") / block).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = lambda n: F.pmod(F.hash("id"), n)
+    all_ = rows.select("band", place(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), F.lit(False).alias("few"), "id", "n", "label")
+    odd = rows.where("label <> largest").select("band", every(F.col("ni")).alias("i"), place(F.col("nj")).alias("j"), F.lit(True).alias("few"), "id", "n", "label")
+
+    def compare(table: pa.Table) -> pa.Table:
+        few = table.column("few").to_numpy(zero_copy_only=False)
+        id_, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
+        maps = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("bits")]
+        width = np.array([len(m) for m in maps])
+        others = {w: (at, np.stack([maps[k] for k in at])) for w in np.unique(width[~few]) for at in [np.flatnonzero(~few & (width == w))]}
+        folded = {}
+        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for k in np.flatnonzero(few):
+            for w, (at, block_) in others.items():
+                common = min(w, width[k])
+                near = (label[at] != label[k]) & (100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k]))
+                if not near.any():
+                    continue
+                if (w, common) not in folded:
+                    folded[w, common] = np.bitwise_or.reduce(block_.reshape(len(at), -1, common), axis=1)
+                y, x = folded[w, common][near], np.bitwise_or.reduce(maps[k].reshape(-1, common), axis=0)
+                m, mine = n[at][near], int(n[k])
+                most = np.minimum(mine - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                hit = id_[at][near][100 * most >= percent * (m + mine - most)]
+                out.append(np.stack([np.minimum(hit, id_[k]), np.maximum(hit, id_[k])], 1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"u": found[:, 0], "v": found[:, 1]})
+
+    return all_.union(odd).join(bits, "id").groupBy("band", "i", "j").applyInArrow(compare, "u bigint, v bigint")
+
+
 def _labelled(df: DataFrame, labels: DataFrame, column: str, into: str) -> DataFrame:
     """``into``: the component of ``column``; a node without links is its own."""
     named = labels.select(F.col("node").alias(column), F.col("label").alias("_label"))
@@ -160,17 +217,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     # Bands with members of several components: all of the smaller ones against the members of the others.
     placed = staged(_labelled(members.select("band", "id", "n"), labels, "id", "label"))
     by_label = placed.groupBy("band", "label").agg(F.count("*").alias("size"))
-    mixed = (by_label.groupBy("band").agg(F.max(F.struct("size", "label")).alias("largest"), F.count("*").alias("labels"))
-             .where("labels > 1").select("band", F.col("largest.label").alias("largest")))
-    inside = placed.join(mixed, "band")
-    few = inside.where("label <> largest").select("band", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    across = (inside.join(few, "band").where((F.col("label") != F.col("xl")) & close(F.col("n"), F.col("xn")))
-              .select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")).distinct()
-              .join(stars, ["u", "v"], "left_anti"))
+    mixed = (by_label.groupBy("band").agg(F.max(F.struct("size", "label")).alias("largest"), F.sum("size").alias("size"), F.count("*").alias("labels"))
+             .where("labels > 1").select("band", "size", F.col("largest.label").alias("largest"), (F.col("size") - F.col("largest.size")).alias("few")))
+    inside = staged(placed.join(mixed, "band"))
+    small = inside.where(F.col("size") <= _SMALL_BAND)
+    few = small.where("label <> largest").select("band", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+    pairs = (small.join(few, "band").where((F.col("label") != F.col("xl")) & close(F.col("n"), F.col("xn")))
+             .select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")))
+    large = inside.where(F.col("size") > _SMALL_BAND)
+    across = (pairs.union(_possible(large, sets, percent)).distinct().join(stars, ["u", "v"], "left_anti"))
     last = staged(_verified(across, sets, percent))
     if last.limit(1).count():
         labels = components(links.union(last))
-    drop_staged(members, stars, sets, placed)
+    drop_staged(members, stars, sets, placed, inside)
     out = _labelled(all_.select("id", "n"), labels, "id", "component_id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
