@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgauge.llm import curriculum, divergence, langid, minhash, packing, shuffle, topk, warc
+from newsgauge.llm import cotrain, curriculum, divergence, langid, minhash, packing, quotes, shuffle, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,17 @@ WHERE rank <= 20"""
 def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best matches of every twentieth vector among all."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by text, by metadata and by both."""
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.classify(docs, model, into="found").select("doc_id", "found.*")
+
+
+@_query
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, linked to the message it replies to and placed in its conversation."""
+    return quotes.conversations(table(spark, sf_dir, "conversations")).drop("text")
