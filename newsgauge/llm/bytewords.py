@@ -104,18 +104,25 @@ def chain(hashes: np.ndarray, size: int) -> np.ndarray:
 def groups(column: pa.Array | pa.ChunkedArray) -> Iterator[Texts]:
     """The texts of an Arrow string column (null as empty), a group at a time."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
+        for chunk in column.chunks:
+            yield from groups(chunk)
         return
-    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    wide = pa.types.is_large_string(column.type)
+    edges = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
         to = int(np.searchsorted(edges, edges[at] + GROUP_BYTES, "right")) - 1
         to = min(max(to, at + 1), len(column))
-        yield Texts(data[edges[at]:edges[to]], edges[at:to + 1] - edges[at])
+        part = column.slice(at, to - at)
+        if part.null_count:  # what lies under a null is not part of the texts
+            part = pc.fill_null(part.cast(pa.large_string()), "")
+            own = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
+            yield Texts(np.frombuffer(part.buffers()[2] or b"", np.uint8)[own[0]:own[-1]], own - own[0])
+        else:
+            yield Texts(data[edges[at]:edges[to]], edges[at:to + 1] - edges[at])
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def distinct_shingles(texts: Texts, size: int) -> list[np.ndarray]:
