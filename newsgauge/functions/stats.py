@@ -11,19 +11,22 @@ def _col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
-def exact_sum(column: str | Column, scale: int = 6) -> Column:
-    """Sum in DECIMAL arithmetic: addition order cannot change the last digits as it does for doubles."""
-    return F.sum(_col(column).cast(f"decimal(18,{scale})")).cast("double")
+def exact_sum(column: str | Column) -> Column:
+    """Sum of doubles, in DECIMAL with 18 decimals where all values are below 1e10 in size (addition order then cannot change
+    the last digits), else in doubles."""
+    value = _col(column).cast("double")
+    small = F.coalesce(F.max(F.abs(value)) < 1e10, F.lit(False))  # a NaN is larger than any number
+    return F.when(small, F.sum(value.try_cast("decimal(28,18)")).cast("double")).otherwise(F.sum(value))
 
 
-def exact_mean(column: str | Column, scale: int = 6) -> Column:
+def exact_mean(column: str | Column) -> Column:
     """Mean over :func:`exact_sum`; NULL for no rows."""
-    return F.try_divide(exact_sum(column, scale), F.count(_col(column)).cast("double"))
+    return F.try_divide(exact_sum(column), F.count(_col(column)).cast("double"))
 
 
-def mean_or_zero(column: str | Column, scale: int = 6) -> Column:
+def mean_or_zero(column: str | Column) -> Column:
     """Mean that is 0.0 for no rows."""
-    return F.coalesce(exact_mean(column, scale), F.lit(0.0))
+    return F.coalesce(exact_mean(column), F.lit(0.0))
 
 
 def count_where(condition: Column) -> Column:

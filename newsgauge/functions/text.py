@@ -14,11 +14,9 @@ def not_blank(column: Column) -> Column:
     return F.when(F.trim(column) != "", column)
 
 
-def score_text(headline: Column, summary: Column, max_chars: int | None = None) -> Column:
-    """Text to score: headline, else summary; NULL when both are blank. ``max_chars`` is the input size of a model
-    that cannot take more; without it the whole text is used."""
-    text = F.coalesce(not_blank(headline), not_blank(summary))
-    return text if max_chars is None else F.substring(text, 1, max_chars)
+def score_text(headline: Column, summary: Column) -> Column:
+    """Text to score, whole: headline, else summary; NULL when both are blank."""
+    return F.coalesce(not_blank(headline), not_blank(summary))
 
 
 def ellipsize(column: Column, keep: int, limit: int | None = None) -> Column:

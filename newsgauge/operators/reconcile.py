@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from newsgauge.functions.stats import exact_mean, exact_sum
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 TOLERANCE = 1e-6
@@ -111,10 +112,9 @@ def summary(source: DataFrame, target: DataFrame, issues: Column, key: str = "id
 
 def probes(df: DataFrame, key: str, ts: str, number: str, recent_since: Column) -> DataFrame:
     """One row of aggregates by which two copies can be compared without a join."""
-    n = F.col(number).cast("decimal(18,6)")
     return df.agg(
         F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"),
-        F.sum(n).cast("double").alias("total"), (F.sum(n).cast("double") / F.count(number)).alias("mean"),
+        exact_sum(number).alias("total"), exact_mean(number).alias("mean"),
         F.min(number).alias("lowest"), F.max(number).alias("highest"), F.count_if(F.col(ts) > recent_since).alias("recent"))
 
 
@@ -223,17 +223,31 @@ def migration_result(outcomes: DataFrame) -> DataFrame:
                         F.when(total > 0, (ok + F.count_if(F.col("outcome") == "failed")) / total).otherwise(0.0).alias("progress"))
 
 
-def incremental_window(df: DataFrame, checkpoint: Column, window: str, now: Column, max_rows: int, ts: str = "ts") -> DataFrame:
-    """The next batch after a checkpoint: ts in (checkpoint, checkpoint + window], not beyond ``now``, oldest first."""
-    end = F.least(checkpoint + F.expr(f"interval {window}"), now)
-    return df.where((F.col(ts) > checkpoint) & (F.col(ts) <= end)).orderBy(ts, "id").limit(max_rows)
+def _beyond(ts: str, checkpoint: Column, last_id: Column | None) -> Column:
+    """Rows after the checkpoint: later, or at its time with a larger id."""
+    later = F.col(ts) > checkpoint
+    return later if last_id is None else later | ((F.col(ts) == checkpoint) & (F.col("id") > last_id))
+
 
+def incremental_window(df: DataFrame, checkpoint: Column, window: str, now: Column, max_rows: int, ts: str = "ts",
+                       last_id: Column | None = None) -> DataFrame:
+    """The next batch after a checkpoint, oldest first: up to checkpoint + window, not beyond ``now``.
 
-def incremental_status(df: DataFrame, batch: DataFrame, checkpoint: Column, window: str, now: Column, ts: str = "ts") -> DataFrame:
-    """Rows of the batch, the new checkpoint, and whether rows remain after the window."""
+    A batch may end among rows of one time; the checkpoint is therefore a time and the last id copied at that time.
+    Without ``last_id`` all rows of the checkpoint's time count as copied.
+    """
     end = F.least(checkpoint + F.expr(f"interval {window}"), now)
-    more = df.agg(F.count_if(F.col(ts) > end) > 0).scalar()
-    return batch.agg(F.count("*").alias("migrated"), F.coalesce(F.max(ts), checkpoint).alias("new_checkpoint")).withColumn("more_rows", more)
+    return df.where(_beyond(ts, checkpoint, last_id) & (F.col(ts) <= end)).orderBy(ts, "id").limit(max_rows)
+
+
+def incremental_status(df: DataFrame, batch: DataFrame, checkpoint: Column, ts: str = "ts", last_id: Column | None = None) -> DataFrame:
+    """Rows of the batch, the new checkpoint (time and id; the old one after an empty batch), and whether rows remain
+    beyond it, in this window or later."""
+    newest = F.max(F.struct(F.col(ts), F.col("id")))
+    done = batch.agg(F.count("*").alias("migrated"), F.coalesce(newest[ts], checkpoint).alias("new_checkpoint"),
+                     F.coalesce(newest["id"], F.lit(None) if last_id is None else last_id).alias("new_last_id"))
+    left = df.where(_beyond(ts, checkpoint, last_id)).agg(F.count("*").alias("_beyond"))
+    return done.join(left, F.lit(True)).withColumn("more_rows", F.col("_beyond") > F.col("migrated")).drop("_beyond")
 
 
 def stratified_ids(df: DataFrame, key: str, sample_size: int) -> DataFrame:
@@ -250,6 +264,5 @@ def stratified_ids(df: DataFrame, key: str, sample_size: int) -> DataFrame:
     first = ids.orderBy(F.col(key).asc()).limit(third).withColumn("stratum", F.lit("first"))
     low = max(0, total // 2 - third // 2)
     middle = ranks_between(ids, key, low, low + third).withColumn("stratum", F.lit("middle"))
-    # At most a third follows the start of the last stratum, so the rest only counts where it fits.
-    last = ids.orderBy(F.col(key).desc()).limit(min(third + rest, third)).withColumn("stratum", F.lit("last"))
+    last = ids.orderBy(F.col(key).desc()).limit(third + rest).withColumn("stratum", F.lit("last"))
     return first.unionByName(middle).unionByName(last)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgauge.functions import predicates as P
 from newsgauge.functions.labels import band_color
-from newsgauge.functions.stats import count_where, exact_mean, exact_quantiles, mean_or_zero
+from newsgauge.functions.stats import count_where, exact_mean, exact_quantiles, exact_sum, mean_or_zero
 
 SCORE = "sentiment_score"
 LABELS = ("positive", "neutral", "negative")
@@ -66,28 +66,28 @@ def boxplot(df: DataFrame, by: str = "ticker", value: str = SCORE) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str = SCORE, bins: int = 20) -> DataFrame:
-    """Equal-width bins over the value range (the last one closed), with the overall mean and median."""
+    """Equal-width bins over the value range (the last one closed), with the overall mean and median; one bin, number 0, where
+    all values are equal."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), exact_mean(value).alias("mean"))
     lo, hi, mean = (ends.select(c).scalar() for c in ("lo", "hi", "mean"))
     median = exact_quantiles(df, [], value, {"median": 0.5}).scalar()
-    position = F.floor((F.col(value) - lo) / (hi - lo) * bins).cast("int")
+    position = F.coalesce(F.floor(F.try_divide(F.col(value) - lo, hi - lo) * bins).cast("int"), F.lit(0))
     counts = (df.where(F.col(value).isNotNull()).groupBy(F.least(position, F.lit(bins - 1)).alias("bin"))
               .agg(F.count("*").alias("n")))
     return counts.withColumns({"mean_score": mean, "median_score": median})
 
 
-def daily_series(df: DataFrame, min_rows: int = 50) -> DataFrame:
-    """Daily means per ticker from its first to its last day (NULL on empty days); tickers with at most
-    ``min_rows`` rows give their raw points instead."""
-    daily = df.groupBy("ticker", F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(
-        exact_mean(SCORE).alias("mean_score"), F.count("*").alias("_n"))
-    spans = daily.groupBy("ticker").agg(F.min("day").alias("_first"), F.max("day").alias("_last"), F.sum("_n").alias("_rows"))
-    calendar = (spans.where(F.col("_rows") > min_rows)
-                .select("ticker", F.explode(F.sequence("_first", "_last", F.expr("interval 1 day"))).alias("day")))
-    resampled = calendar.join(daily.drop("_n"), ["ticker", "day"], "left").withColumn("resampled", F.lit(True))
-    raw = (df.join(spans.where(F.col("_rows") <= min_rows).select("ticker"), "ticker", "left_semi")
-           .select("ticker", F.col("ts").alias("day"), F.col(SCORE).alias("mean_score"), F.lit(False).alias("resampled")))
-    return resampled.unionByName(raw)
+def daily_series(df: DataFrame) -> DataFrame:
+    """Daily means per ticker from its first to its last day (NULL on empty days)."""
+    daily = df.groupBy("ticker", F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(exact_mean(SCORE).alias("mean_score"))
+    spans = daily.groupBy("ticker").agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    calendar = spans.select("ticker", F.explode(F.sequence("_first", "_last", F.expr("interval 1 day"))).alias("day"))
+    return calendar.join(daily, ["ticker", "day"], "left")
+
+
+def raw_series(df: DataFrame) -> DataFrame:
+    """The points themselves, for tickers with too few of them to be worth resampling."""
+    return df.select("ticker", F.col("ts").alias("day"), F.col(SCORE).alias("mean_score"))
 
 
 def heatmap(df: DataFrame) -> DataFrame:
@@ -118,9 +118,9 @@ def label_distribution(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def dominant_label(df: DataFrame) -> DataFrame:
     """Mean score, rows and most frequent label (first in order on a tie) per ticker, largest first."""
     per_label = df.groupBy("ticker", "label").agg(
-        F.count("*").alias("_n"), F.sum(F.col(SCORE).cast("decimal(18,6)")).alias("_s"))
+        F.count("*").alias("_n"), exact_sum(SCORE).alias("_s"), F.count(SCORE).alias("_scored"))
     out = per_label.groupBy("ticker").agg(
-        (F.sum("_s").cast("double") / F.sum("_n")).alias("avg_score"), F.sum("_n").cast("long").alias("n"),
+        F.try_divide(F.sum("_s"), F.sum("_scored").cast("double")).alias("avg_score"), F.sum("_n").cast("long").alias("n"),
         F.min_by("label", F.struct(-F.col("_n"), F.col("label"))).alias("dominant_label"))
     return out.orderBy(F.col("n").desc(), "ticker")
 
@@ -129,7 +129,7 @@ def collection_totals(runs: DataFrame) -> DataFrame:
     """Totals over per-ticker collection runs (``items``, ``ok``)."""
     return runs.agg(F.count("*").alias("runs"), count_where(F.col("ok")).alias("succeeded"),
                     count_where(~F.col("ok")).alias("failed"), F.sum("items").cast("long").alias("total_items"),
-                    (count_where(F.col("ok")) * 100.0 / F.count("*")).alias("success_rate"))
+                    F.coalesce(F.try_divide(count_where(F.col("ok")) * 100.0, F.count("*")), F.lit(0.0)).alias("success_rate"))
 
 
 def top_by_ticker(df: DataFrame, n: int, highest: bool = True) -> DataFrame:

@@ -51,7 +51,7 @@ def error_alerts(op_log: DataFrame, threshold: int) -> DataFrame:
     return bin_start(in_bins(bad, []).agg(F.count("*").alias("error_count"))).where(F.col("error_count") > threshold)
 
 
-def recent_means(op_log: DataFrame, last: int = 1000) -> DataFrame:
+def recent_means(op_log: DataFrame, last: int) -> DataFrame:
     """Mean duration per query type over the successful ones among the last ``last`` operations."""
     recent = op_log.orderBy(F.col("ts").desc(), F.col("op_id").desc()).limit(last)
     return recent.where("ok").groupBy("query_type").agg(exact_mean("duration_ms").alias("avg_duration"))
@@ -129,6 +129,12 @@ def event_fanout(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     return events.join(targets, "event_type")
 
 
+def newest_results(deliveries: DataFrame) -> DataFrame:
+    """One status code per delivery: the newest by ``ts``, or, without that column, the lowest, so that a success counts."""
+    newest = F.max_by("status_code", "ts") if "ts" in deliveries.columns else F.min("status_code")
+    return deliveries.groupBy("delivery_id").agg(newest.alias("status_code"))
+
+
 def retry_step(queue: DataFrame, subscribers: DataFrame, deliveries: DataFrame, max_attempts: int = 3) -> DataFrame:
     """Outcome of one pass over the retry queue: queue items with an active subscriber and a delivery log entry.
 
@@ -136,7 +142,7 @@ def retry_step(queue: DataFrame, subscribers: DataFrame, deliveries: DataFrame,
     with one more attempt until ``max_attempts``.
     """
     alive = (queue.join(subscribers.where("active").select("subscriber_id"), "subscriber_id")
-             .join(deliveries.select("delivery_id", "status_code"), "delivery_id"))
+             .join(newest_results(deliveries), "delivery_id"))
     code = F.col("status_code")
     permanent = code.between(400, 499) & ~code.isin(408, 429)
     return alive.select(

@@ -219,11 +219,11 @@ def sentiment_flatten(t):
 
 
 @query("score_text_choice", "raw_news", """
-SELECT doc_id AS id, text, substr(text, 1, 1024) AS model_input FROM (SELECT doc_id,
+SELECT doc_id AS id, text FROM (SELECT doc_id,
   CASE WHEN trim(headline) <> '' THEN headline WHEN trim(summary) <> '' THEN summary END AS text FROM raw_news)""")
 def score_text_choice(t):
     headline, summary = F.col("headline"), F.col("summary")
-    return news(t).select("id", X.score_text(headline, summary).alias("text"), X.score_text(headline, summary, 1024).alias("model_input"))
+    return news(t).select("id", X.score_text(headline, summary).alias("text"))
 
 
 @query("related_to_tickers", "raw_news", """
@@ -264,12 +264,12 @@ def partition_layout_counts(t):
     return t.sentiment.select(F.explode(parts).alias("p")).groupBy("p.layout", "p.part").agg(F.count("*").alias("n"))
 
 
-@query("partitioned_write", "sentiment", "SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, ticker, count(*) AS n FROM sentiment WHERE day(ts) >= 20 GROUP BY ALL")
+@query("partitioned_write", "sentiment", "SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, ticker, count(*) AS n FROM sentiment GROUP BY ALL")
 def partitioned_write(t):
-    """Written in the time layout and read back; the filter on the day prunes folders."""
+    """Written in the time layout and read back."""
     path = scratch_path(t.spark, "layout")
     tables.write_partitioned(t.sentiment.select(*_FLAT), path, "time")
-    return t.spark.read.parquet(path).where(F.col("day") >= 20).groupBy("year", "month", "day", "ticker").agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(path).groupBy("year", "month", "day", "ticker").agg(F.count("*").alias("n"))
 
 
 @query("archive_roundtrip", "sentiment", "SELECT source, CAST(ts AS DATE) AS date, count(*) AS n FROM sentiment GROUP BY ALL")

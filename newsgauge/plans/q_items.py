@@ -69,19 +69,19 @@ def normalize_tags(t):
     return t.item.select("id", F.array_join(M.search_terms_to_tags(text), "|").alias("tags"))
 
 
-@query("task_sort_priority", "item", f"SELECT id, priority FROM item ORDER BY {_RANK} DESC, id LIMIT 200")
+@query("task_sort_priority", "item", f"SELECT id, priority FROM item ORDER BY {_RANK} DESC, id")
 def task_sort_priority(t):
-    return M.sort_tasks(t.item, "priority").select("id", "priority").limit(200)
+    return M.sort_tasks(t.item, "priority").select("id", "priority")
 
 
-@query("task_sort_status", "item", f"SELECT id, status FROM item ORDER BY {_POS}, id LIMIT 3000")
+@query("task_sort_status", "item", f"SELECT id, status FROM item ORDER BY {_POS}, id")
 def task_sort_status(t):
-    return M.sort_tasks(t.item, "status").select("id", "status").limit(3000)
+    return M.sort_tasks(t.item, "status").select("id", "status")
 
 
-@query("task_sort_updated", "item", "SELECT id, updated_at FROM item ORDER BY updated_at DESC, id LIMIT 100")
+@query("task_sort_updated", "item", "SELECT id, updated_at FROM item ORDER BY updated_at DESC, id")
 def task_sort_updated(t):
-    return M.sort_tasks(t.item, "updated").select("id", "updated_at").limit(100)
+    return M.sort_tasks(t.item, "updated").select("id", "updated_at")
 
 
 @query("evidence_page", "item", f"SELECT {_SHOW} FROM item ORDER BY {_REL} DESC, id LIMIT 50 OFFSET 100")

@@ -191,7 +191,7 @@ def keep_first(t):
 @query("parity_probes", "sentiment replica", """
 WITH p AS (SELECT 's' AS side, * FROM sentiment UNION ALL SELECT 't', * FROM replica),
 a AS (SELECT side, count(*)::DOUBLE AS rows, count(DISTINCT id)::DOUBLE AS keys, epoch_us(min(ts)) / 1e6::DOUBLE AS min_ts, epoch_us(max(ts)) / 1e6::DOUBLE AS max_ts,
-  CAST(sum(CAST(sentiment_score AS DECIMAL(18,6))) AS DOUBLE) AS total, CAST(sum(CAST(sentiment_score AS DECIMAL(18,6))) AS DOUBLE) / count(sentiment_score) AS mean,
+  sum(sentiment_score)::DOUBLE AS total, avg(sentiment_score)::DOUBLE AS mean,
   min(sentiment_score) AS lowest, max(sentiment_score) AS highest, count(*) FILTER (ts > TIMESTAMP '2024-01-15')::DOUBLE AS recent FROM p GROUP BY side),
 u AS (UNPIVOT a ON rows, keys, min_ts, max_ts, total, mean, lowest, highest, recent INTO NAME probe VALUE v)
 SELECT probe, max(v) FILTER (side = 's') AS source_value, max(v) FILTER (side = 't') AS target_value,
@@ -244,18 +244,18 @@ def _ts(text):
 
 
 @query("incremental_status", "sentiment", """
-WITH b AS (SELECT ts FROM sentiment WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12' ORDER BY ts, id LIMIT 500)
+WITH b AS (SELECT ts, id FROM sentiment WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12' ORDER BY ts, id LIMIT 500)
 SELECT count(*) AS migrated, coalesce(max(ts), TIMESTAMP '2024-01-10') AS new_checkpoint,
-  (SELECT count(*) FILTER (ts > TIMESTAMP '2024-01-12') > 0 FROM sentiment) AS more_rows FROM b""")
+  arg_max(id, (ts, id)) AS new_last_id, (SELECT count(*) FROM sentiment WHERE ts > TIMESTAMP '2024-01-10') > count(*) AS more_rows FROM b""")
 def incremental_status(t):
     args = (_ts("2024-01-10 00:00:00"), "2 days", _ts("2024-02-01 00:00:00"))
-    return R.incremental_status(t.sentiment, R.incremental_window(t.sentiment, *args, 500), *args)
+    return R.incremental_status(t.sentiment, R.incremental_window(t.sentiment, *args, 500), args[0])
 
 
 @query("stratified_ids", "", """
 WITH n AS (SELECT count(*) AS c FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)
 SELECT doc_id, 'first' AS stratum FROM r WHERE p < 33 UNION ALL SELECT doc_id, 'middle' FROM r, n WHERE p >= c // 2 - 16 AND p < c // 2 - 16 + 33
-UNION ALL SELECT doc_id, 'last' FROM r, n WHERE p >= c - 33""")
+UNION ALL SELECT doc_id, 'last' FROM r, n WHERE p >= c - 34""")
 def stratified_ids(t):
     return R.stratified_ids(t.documents, "doc_id", 100)
 

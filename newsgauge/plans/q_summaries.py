@@ -11,8 +11,8 @@ _LABELED = """WITH labeled AS (SELECT *, CASE WHEN sentiment_score > 0.1 THEN 'p
   ELSE 'neutral' END AS label FROM sentiment) """
 
 
-def mean(column: str, scale: int = 6) -> str:
-    return f"(CAST(sum(CAST({column} AS DECIMAL(18,{scale}))) AS DOUBLE) / count({column}))"
+def mean(column: str) -> str:
+    return f"avg(CAST({column} AS DOUBLE))"
 
 
 _MEAN = mean("sentiment_score")
@@ -93,11 +93,10 @@ def score_histogram(t):
 
 
 @query("daily_resample", "sentiment", f"""
-WITH daily AS (SELECT ticker, date_trunc('day', ts) AS day, {_MEAN} AS mean_score, count(*) AS n FROM sentiment GROUP BY ALL),
-spans AS (SELECT ticker, min(day) AS a, max(day) AS b, sum(n) AS n FROM daily GROUP BY ticker),
-cal AS (SELECT ticker, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM spans WHERE n > 50)
-SELECT c.ticker, c.day, d.mean_score, true AS resampled FROM cal c LEFT JOIN daily d ON c.ticker = d.ticker AND c.day = d.day
-UNION ALL SELECT ticker, ts, sentiment_score, false FROM sentiment WHERE ticker IN (SELECT ticker FROM spans WHERE n <= 50)""")
+WITH daily AS (SELECT ticker, date_trunc('day', ts) AS day, {_MEAN} AS mean_score FROM sentiment GROUP BY ALL),
+spans AS (SELECT ticker, min(day) AS a, max(day) AS b FROM daily GROUP BY ticker),
+cal AS (SELECT ticker, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM spans)
+SELECT c.ticker, c.day, d.mean_score FROM cal c LEFT JOIN daily d ON c.ticker = d.ticker AND c.day = d.day""")
 def daily_resample(t):
     return S.daily_series(t.sentiment)
 
@@ -107,14 +106,13 @@ def heatmap_long(t):
     return S.heatmap(t.sentiment)
 
 
-_DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
-
-
-@query("heatmap_pivot", "sentiment", "SELECT ticker, " + ", ".join(
-    f"CAST(sum(CAST(sentiment_score AS DECIMAL(18,6))) FILTER (CAST(ts AS DATE) = DATE '{d}') AS DOUBLE) / "
-    f"count(*) FILTER (CAST(ts AS DATE) = DATE '{d}') AS d_{d.replace('-', '_')}" for d in _DAYS) + " FROM sentiment GROUP BY ticker")
+@query("heatmap_pivot", "sentiment", """
+PIVOT (SELECT ticker, strftime(ts, 'd_%Y_%m_%d') AS d, sentiment_score FROM sentiment) ON d USING round(avg(sentiment_score), 9) GROUP BY ticker""")
 def heatmap_pivot(t):
-    return S.heatmap_pivot(t.sentiment, _DAYS)
+    """The columns are the days of the data."""
+    days = [r["date"] for r in t.sentiment.select(F.date_format("ts", "yyyy-MM-dd").alias("date")).distinct().orderBy("date").collect()]
+    wide = S.heatmap_pivot(t.sentiment, days)
+    return wide.select("ticker", *[F.round(c, 9).alias(c) for c in wide.columns[1:]])
 
 
 @query("news_summary", "sentiment",

@@ -43,7 +43,7 @@ def alert_errors(t):
 @query("avg_query_time", "op_log", f"""
 SELECT query_type, {_AVG} AS avg_duration FROM (SELECT * FROM op_log ORDER BY ts DESC, op_id DESC LIMIT 1000) WHERE ok GROUP BY query_type""")
 def avg_query_time(t):
-    return L.recent_means(t.op_log)
+    return L.recent_means(t.op_log, 1000)
 
 
 @query("p95_by_op", "op_log", "SELECT op_type, " + ", ".join(

@@ -152,6 +152,17 @@ def run_split(stream: DataFrame, label: str, routes: dict[str, Column]) -> dict[
     return {"path": base}
 
 
+def _newest_state(spark: SparkSession, path: str, prefix: str) -> int | None:
+    """The number of the newest finished state table ``<prefix>-<number>`` in ``path``, None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    done = [n for n in names if n.startswith(f"{prefix}-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max((int(n.removeprefix(f"{prefix}-")) for n in done), default=None)
+
+
 class LatestByTicker:
     """Newest ``n`` records per ticker within ``hours`` of the newest time seen, kept as a small state table.
 
@@ -181,6 +192,8 @@ class LatestByTicker:
         self.last = batch_id
 
     def current(self) -> DataFrame:
+        """The newest finished state, also one that an earlier run left in ``path``."""
+        self.last = _newest_state(self.spark, self.path, "state") if self.last is None else self.last
         if self.last is None:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._state(self.last))
@@ -205,7 +218,9 @@ class RetryQueue:
         self.last = -1
 
     def update(self, results: DataFrame, batch_id: int) -> None:
-        """``results`` holds the newest status code of deliveries; those without one wait unchanged."""
+        """``results`` (delivery_id, status code and, where a delivery may have several, ``ts``) decide by their newest row;
+        a delivery without one waits unchanged."""
+        results = telemetry.newest_results(results)
         queue = self.spark.read.schema(self.SCHEMA).parquet(self._state(batch_id - 1))
         step = telemetry.retry_step(queue, self.subscribers, results, self.max_attempts)
         again = step.where("requeued").select("delivery_id", "subscriber_id", (F.col("attempts") + 1).alias("attempts"))
@@ -214,4 +229,8 @@ class RetryQueue:
         self.last = batch_id
 
     def current(self) -> DataFrame:
+        """The newest finished queue, also one that an earlier run left in ``path``; empty before :meth:`start`."""
+        self.last = _newest_state(self.spark, self.path, "queue") if self.last is None else self.last
+        if self.last is None:
+            return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self._state(self.last))

@@ -106,18 +106,37 @@ def test_schema_evolution(spark):
 
 def test_incremental_windows_cover_everything_once(spark):
     df = spark.range(100).select("id", F.timestamp_add("HOUR", F.col("id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"))
-    checkpoint, seen = F.lit("2023-12-31 00:00:00").cast("timestamp_ntz"), []
+    checkpoint, last_id, seen = F.lit("2023-12-31 00:00:00").cast("timestamp_ntz"), None, []
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     for _ in range(20):
-        batch = R.incremental_window(df, checkpoint, "1 day", now, 30)
+        batch = R.incremental_window(df, checkpoint, "1 day", now, 30, last_id=last_id)
         seen += [r.id for r in batch.collect()]
-        status = R.incremental_status(df, batch, checkpoint, "1 day", now).first()
-        if not status.more_rows and not status.migrated:
+        status = R.incremental_status(df, batch, checkpoint, last_id=last_id).first()
+        if not status.more_rows:
             break
         checkpoint = F.lit(str(status.new_checkpoint)).cast("timestamp_ntz") if status.migrated else checkpoint + F.expr("interval 1 day")
+        last_id = F.lit(status.new_last_id) if status.migrated else None
     assert seen == list(range(100))
 
 
+def test_incremental_copy_of_equal_times(spark):
+    df = spark.range(10).select("id", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    checkpoint, now = (F.lit(x).cast("timestamp_ntz") for x in ("2023-12-31 12:00:00", "2024-02-01 00:00:00"))
+    last_id, seen, more = None, [], []
+    for _ in range(3):
+        batch = R.incremental_window(df, checkpoint, "1 day", now, 4, last_id=last_id)
+        seen += [r.id for r in batch.collect()]
+        status = R.incremental_status(df, batch, checkpoint, last_id=last_id).first()
+        more.append(status.more_rows)
+        checkpoint, last_id = F.lit(str(status.new_checkpoint)).cast("timestamp_ntz"), F.lit(status.new_last_id)
+    assert seen == list(range(10)) and more == [True, True, False]
+
+
+@pytest.mark.parametrize("size, total", [(7, 20), (100, 1000), (3, 3), (5, 2)])
+def test_stratified_sample_has_its_size(spark, size, total):
+    assert R.stratified_ids(spark.range(total), "id", size).count() == min(size, total)
+
+
 def test_scd2(spark):
     log = spark.createDataFrame([("a", 1, datetime(2024, 1, 1), "x"), ("a", 2, datetime(2024, 1, 1), "y"), ("a", 3, datetime(2024, 3, 1), "z"), ("b", 4, T0, "w")],
                                 "id string, seq long, ts timestamp_ntz, state string")

@@ -86,7 +86,23 @@ def test_daily_series_fills_days_per_ticker(spark):
     a = {r.day.day: r.mean_score for r in got if r.ticker == "A"}
     assert a == {1: 0.5, 2: None, 3: None, 4: 0.5}
     assert sorted(r.mean_score for r in got if r.ticker == "B") == pytest.approx([0.0, 0.1, 0.2])
-    assert {r.ticker: r.resampled for r in got} == {"A": True, "B": False}
+
+
+def test_constant_column_has_one_bin(spark):
+    df = spark.createDataFrame([(i, "A", datetime(2024, 1, 1), 0.5, "positive") for i in range(5)], SCHEMA)
+    assert [(r.bin, r.n, r.mean_score) for r in S.histogram(df).collect()] == [(0, 5, 0.5)]
+    assert S.histogram(df.limit(0)).count() == 0
+
+
+def test_collection_totals_of_nothing(spark):
+    got = S.collection_totals(spark.createDataFrame([], "items long, ok boolean")).first()
+    assert (got.runs, got.success_rate) == (0, 0.0)
+
+
+@pytest.mark.parametrize("values, mean", [([1 / 3] * 3, 1 / 3), ([4.9e-7, 4.9e-7], 4.9e-7), ([2e12, 2e12], 2e12), ([1e30, 3e30], 2e30), ([], None)])
+def test_means_keep_their_digits(spark, values, mean):
+    df = spark.createDataFrame([(i, "A", datetime(2024, 1, 1), v, "neutral") for i, v in enumerate(values)], SCHEMA)
+    assert S.overall_summary(df).first().mean_score == (mean if mean is None else pytest.approx(mean, rel=1e-12))
 
 
 def test_dominant_label_breaks_ties_by_name(spark):
