@@ -7,6 +7,8 @@ by one subtraction, and a mixing step spreads it.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in groups of about this many bytes; a longer text is a group of its own.
-GROUP_BYTES = 1 << 19
+GROUP_BYTES = 1 << 18
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,7 +25,6 @@ _LOWER[65:91] += 32
 _VALUES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,14 +36,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
+    # Kept once for each process, not for each task: functions travel with their module's values.
+    kept = sys.modules.setdefault("_newsgauge_powers", types.ModuleType("_newsgauge_powers")).__dict__
+    have = kept.get(str(base))
     if have is None or len(have) < n:
         have = np.full(max(n, GROUP_BYTES + 1), base, np.uint64)
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(have)
         if len(have) <= 1 << 22:  # the powers for one very long text are not kept
-            _POWERS[base] = have
+            kept[str(base)] = have
     return have[:n]
 
 

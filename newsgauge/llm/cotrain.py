@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from newsgauge.llm import bytewords
+from newsgauge.llm.ordering import fresh
 from newsgauge.session import drop_staged, staged
 
 GRAMS = 1 << 13
@@ -264,6 +265,7 @@ def predict(model: Model, text: str = "text", source: str = "source", lang: str
 
 def classify(df: DataFrame, model: Model, into: str = "quality", least: float = 0.5, **columns) -> DataFrame:
     """``df`` with the struct of :func:`predict` and ``kept``, whether the score is at least ``least``, as column ``into``."""
-    named = df.withColumn("_p", predict(model, **columns))
-    fields = [F.col("_p")[c].alias(c) for c in ("text_prob", "meta_prob", "score")]
-    return named.withColumn(into, F.struct(*fields, (F.col("_p")["score"] >= least).alias("kept"))).drop("_p")
+    name = fresh(df, "_p")["_p"]
+    named = df.withColumn(name, predict(model, **columns))
+    fields = [F.col(name)[c].alias(c) for c in ("text_prob", "meta_prob", "score")]
+    return named.withColumn(into, F.struct(*fields, (F.col(name)["score"] >= least).alias("kept"))).drop(name)

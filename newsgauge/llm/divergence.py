@@ -7,6 +7,7 @@ texts, whose histograms say little, are not judged by them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from newsgauge.llm import bytewords
+from newsgauge.llm.ordering import fresh
 from newsgauge.session import drop_staged, staged
 
 CELLS = 1 << 14
@@ -203,18 +205,22 @@ def measures(refs: References, text: str = "text", lang: str = "lang") -> Column
 
 
 def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang", into: str = "quality",
-          most_chars: float = 0.25, most_words: float = 0.35, noise: float = 1.0, least_words: int = 50) -> DataFrame:
+          most_chars: float = 0.25, most_words: float = 0.35, least_words: int = 50) -> DataFrame:
     """``df`` with a struct ``into``: the measures, ``base_failed`` and ``kept``.
 
     Base rule: fewer than 10 words, or over 20 % of the words in repeated five-word windows. Beyond it a text of at least
-    ``least_words`` words is kept if its distances are at most ``most_chars`` and ``most_words``; both bounds are wider by
-    ``noise / sqrt(words)``, about what chance alone adds. A null text counts as empty and fails the base rule.
+    ``least_words`` words is kept if its distances are at most ``most_chars`` and ``most_words``, apart from what chance alone
+    adds: a sample of n words has a divergence of some cells / (8 n ln 2) bits from its own source. A null text counts as empty and fails the base rule.
     """
-    m = F.col("_m")
+    name = fresh(df, "_m")["_m"]
+    m = F.col(name)
     base_failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    room = F.lit(noise) / F.sqrt(F.greatest(m["n_words"], F.lit(1)))
-    near = (m["js_chars"] <= most_chars + room) & (m["js_words"] <= most_words + room)
+
+    def within(distance: Column, most: float, cells: int) -> Column:
+        return distance * distance <= most * most + cells / (8 * math.log(2) * F.greatest(m["n_words"], F.lit(1)))
+
+    near = within(m["js_chars"], most_chars, _CLASSES) & within(m["js_words"], most_words, COMMON + 1)
     fields = [m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "js_chars", "js_words")]
     verdict = F.struct(*fields, base_failed.alias("base_failed"),
                        (~base_failed & ((m["n_words"] < least_words) | near)).alias("kept"))
-    return df.withColumn("_m", measures(refs, text, lang)).withColumn(into, verdict).drop("_m")
+    return df.withColumn(name, measures(refs, text, lang)).withColumn(into, verdict).drop(name)

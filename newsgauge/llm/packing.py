@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from newsgauge.llm.ordering import scalar
 from newsgauge.session import drop_staged, staged
 
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
 
 
 class _Encoder:
@@ -40,18 +40,23 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _kept(self, word: str, ids: bytes) -> bytes:
-        if len(self.cache) >= _CACHED_WORDS:
+        if len(self.cache) >= _CACHED_WORDS:  # what is looked up again comes back from the older half
+            self.older = dict(self.cache)
             self.cache.clear()
         if len(word) <= 64:
             self.cache[word] = ids
         return ids
 
     def word(self, word: str) -> bytes:
+        known = self.older.get(word)
+        if known is not None:
+            return self._kept(word, known)
         core = word.rstrip(self._MARKS)
         if core and core[-1].isalpha() and len(core) < len(word):
             marks = word[len(core):]
@@ -62,7 +67,7 @@ class _Encoder:
     def part(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             lower = word.lower()
-            ids = self.cache.get(lower)
+            ids = self.cache.get(lower) or self.older.get(lower)
             if ids is None:
                 ids = self._kept(lower, np.array([t.id for t in self.tokenizer.model.tokenize(lower)], "<u4").tobytes())
             return ids if lower == word else self._kept(word, ids)
