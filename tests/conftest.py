@@ -9,8 +9,8 @@ from newsgauge.session import get_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark("tests", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+def spark(tmp_path_factory):
+    session = get_spark("tests", "local[8]", spark__checkpoint__dir=f"file:{tmp_path_factory.mktemp('shared')}", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
                         spark__sql__shuffle__partitions="8", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from newsgauge.plans import load
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -22,7 +23,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(load.queries()) == set(load.oracles())
 
 
 def test_entry(spark):
@@ -30,7 +31,7 @@ def test_entry(spark):
     assert df.count() > 0 and "mean_score" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(load.queries()) - SLOW))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cur = con.execute(entry.oracle_sql()[name])
