@@ -38,12 +38,19 @@ def magnitude_bin(value: Column, unit: float = 1e-3, per_e_fold: int = 64) -> Co
     return (F.signum(value) * F.floor(F.ln(1 + F.abs(value) / unit) * per_e_fold)).cast("int")
 
 
+def _piece(value: Column, pieces: int = 4096) -> Column:
+    """Number of the equal-width piece between ``_lo`` and ``_hi``, the ends of the bin, in which a value lies."""
+    value, lo, hi = value.cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    return F.when(hi > lo, F.floor((value - lo) / (hi - lo) * pieces)).otherwise(F.lit(0).cast("bigint"))
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles, one column per entry of ``probs``, one row per group.
 
     A sort of the whole group in one task (or the in-memory count map behind ``percentile``) would follow the
     largest group. Here equal values are counted first, spread by (group, value); a histogram of bins finds
-    the few bins that hold the wanted ranks; only those are sorted, each on its own.
+    the few bins that hold the wanted ranks, a second one cuts those between their own ends, so that values in a
+    narrow range are spread as well; only the pieces with wanted ranks are sorted, each on its own.
     """
     by = list(by) or ["_all"]
     if by == ["_all"]:
@@ -53,7 +60,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
               .withColumn("_bin", magnitude_bin(F.col("_v"))))
 
     in_order = Window.partitionBy(*by).orderBy("_bin")
-    bins = (counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_bin_n"))
+    bins = (counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_bin_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
             .withColumn("_end", F.sum("_bin_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("_total", F.sum("_bin_n").over(Window.partitionBy(*by))))
 
@@ -64,14 +71,23 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
                         (position - F.floor(position)).alias("fraction"))
 
     targets = F.array(*[target(n, p, s) for n, p in probs.items() for s in ("lo", "hi")])
-    start = F.col("_end") - F.col("_bin_n")
-    wanted = (bins.withColumn("_targets", F.filter(targets, lambda t: (t["rank"] >= start) & (t["rank"] < F.col("_end"))))
-              .where(F.size("_targets") > 0)
-              .select(*by, "_bin", start.alias("_start"), "_targets"))
-
-    in_bin = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (counts.join(wanted, [*by, "_bin"])
-              .withColumn("_upto", F.col("_start") + F.sum("_n").over(in_bin)))
+
+    def holding(bins: DataFrame, among: Column, size: str, keys: Sequence[str]) -> DataFrame:
+        start = F.col("_end") - F.col(size)
+        return (bins.withColumn("_held", F.filter(among, lambda t: (t["rank"] >= start) & (t["rank"] < F.col("_end"))))
+                .where(F.size("_held") > 0).select(*keys, start.alias("_start"), F.col("_held").alias("_targets")))
+
+    coarse = holding(bins, targets, "_bin_n", [*by, "_bin", "_lo", "_hi"])
+    pieces = counts.join(coarse, [*by, "_bin"]).withColumn("_piece", _piece(F.col("_v")))
+    along = Window.partitionBy(*by, "_bin").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = (pieces.groupBy(*by, "_bin", "_piece").agg(
+                F.sum("_n").alias("_piece_n"), F.any_value("_start").alias("_from"), F.any_value("_targets").alias("_targets"))
+             .withColumn("_end", F.col("_from") + F.sum("_piece_n").over(along)))
+    wanted = holding(sizes, F.col("_targets"), "_piece_n", [*by, "_bin", "_piece"])
+
+    in_piece = Window.partitionBy(*by, "_bin", "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (pieces.drop("_start", "_targets").join(wanted, [*by, "_bin", "_piece"])
+              .withColumn("_upto", F.col("_start") + F.sum("_n").over(in_piece)))
     hits = (placed.select(*by, "_v", F.explode(F.filter(
                 "_targets", lambda t: (t["rank"] < F.col("_upto")) & (t["rank"] >= F.col("_upto") - F.col("_n")))).alias("_t"))
             .select(*by, "_v", "_t.*"))
@@ -105,20 +121,28 @@ def number_in_chunks(df: DataFrame, key: Sequence[str], chunk: Column, order: Se
             .drop("_chunk", "_before", "_next"))
 
 
-def ranks_between(df: DataFrame, column: str, low: Column | int, high: Column | int, bins: int = 100_000) -> DataFrame:
+def ranks_between(df: DataFrame, column: str, low: Column | int, high: Column | int) -> DataFrame:
     """Rows whose 0-based position in the order of the numeric, unique ``column`` lies in [low, high).
 
-    Positions come from a histogram over the value range, so no task sees more than one bin of rows; a plain
-    ``offset`` would pull every row before the range into one place.
+    Positions come from a histogram of bins that grow with the value, and one of equal pieces of each bin that is hit, so
+    that neither a far outlier nor a narrow range puts many rows into one task; a plain ``offset`` would pull every row
+    before the range into one place.
     """
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    binned = df.withColumn("_bin", F.floor((F.col(column) - lo) / (hi - lo + 1) * bins))
-    upto = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n")).withColumn("_end", F.sum("_n").over(upto))
-    hit = sizes.where((F.col("_end") > low) & (F.col("_end") - F.col("_n") < high))
-    inner = Window.partitionBy("_bin").orderBy(column)
-    return (binned.join(hit, "_bin")
-            .withColumn("_position", F.row_number().over(inner) - 1 + F.col("_end") - F.col("_n"))
+    binned = df.withColumn("_bin", magnitude_bin(F.col(column).cast("double"), 1.0))
+
+    def hit(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+        start = F.col("_end") - F.col("_n")
+        return sizes.where((F.col("_end") > low) & (start < high)).select(*keys, start.alias("_start"))
+
+    bins = binned.groupBy("_bin").agg(F.count("*").alias("_n"), F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # a few thousand rows at most
+    coarse = hit(bins.withColumn("_end", F.sum("_n").over(upto)), ["_bin", "_lo", "_hi"])
+    pieces = binned.join(coarse, "_bin").withColumn("_piece", _piece(F.col(column)))
+    along = Window.partitionBy("_bin").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = (pieces.groupBy("_bin", "_piece").agg(F.count("*").alias("_n"), F.any_value("_start").alias("_from"))
+             .withColumn("_end", F.col("_from") + F.sum("_n").over(along)))
+    inner = Window.partitionBy("_bin", "_piece").orderBy(column)
+    return (pieces.drop("_start").join(hit(sizes, ["_bin", "_piece"]), ["_bin", "_piece"])
+            .withColumn("_position", F.row_number().over(inner) - 1 + F.col("_start"))
             .where((F.col("_position") >= low) & (F.col("_position") < high))
-            .drop("_bin", "_n", "_end", "_position"))
+            .drop("_bin", "_piece", "_lo", "_hi", "_start", "_position"))

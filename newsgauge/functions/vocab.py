@@ -99,7 +99,6 @@ QUOTAS = {"project": (1073741824, 1000), "user": (536870912, 500)}
 # Delivery retry settings, milliseconds.
 RETRY = {"max_retries": 5, "base": 5000, "factor": 2, "cap": 120000}
 
-# Lexicon of the built-in scorer: words of our own choice for finance headlines, in the four languages of
-# the corpus (stop words stand in for sentiment words there, so that the scorer has something to find).
-POSITIVE_WORDS = ["gain", "gains", "growth", "profit", "record", "beat", "beats", "strong", "the", "that", "les", "que", "und", "los"]
-NEGATIVE_WORDS = ["loss", "losses", "drop", "fall", "falls", "weak", "miss", "risk", "of", "with", "des", "avec", "der", "las"]
+# Lexicon of the built-in scorer: words of our own choice for finance headlines.
+POSITIVE_WORDS = ["gain", "gains", "growth", "profit", "record", "beat", "beats", "strong"]
+NEGATIVE_WORDS = ["loss", "losses", "drop", "fall", "falls", "weak", "miss", "risk"]

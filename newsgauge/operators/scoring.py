@@ -18,15 +18,15 @@ Scorer = Callable[[list[str]], list[tuple[str, float]]]
 
 
 def words(text: Column) -> Column:
-    """Lower-case words: maximal runs of letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    """Lower-case words: maximal runs of letters; an empty word may stand at either end."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
 
 
 def lexicon_score(df: DataFrame, text: str, positive: Sequence[str] = tuple(vocab.POSITIVE_WORDS),
                   negative: Sequence[str] = tuple(vocab.NEGATIVE_WORDS)) -> DataFrame:
     """Share by which one kind of word outweighs the other is the confidence, the heavier kind the label.
 
-    Native expressions over the whole text: no Python worker, and the scan stays in code generation.
+    Native expressions over the whole text, without a Python worker.
     """
     tokens = words(F.col(text))
     out = df.withColumn("_w", tokens)
@@ -43,10 +43,10 @@ def model_score(df: DataFrame, text: str, load: Callable[[], Scorer], max_chars:
 
     Texts reach the worker in Arrow batches. Longer texts than ``max_chars`` are scored in pieces of that size and
     the piece scores averaged by length, so that no text is cut. A batch the scorer cannot handle is tried text by
-    text; a text it fails on is neutral, 0, 0.
+    text; a text it fails on is neutral, 0, 0, and ``scoring_failed``.
     """
     fields = [T.StructField("sentiment_label", T.StringType()), T.StructField("sentiment_score", T.DoubleType()),
-              T.StructField("confidence", T.DoubleType())]
+              T.StructField("confidence", T.DoubleType()), T.StructField("scoring_failed", T.BooleanType())]
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,8 +61,8 @@ def model_score(df: DataFrame, text: str, load: Callable[[], Scorer], max_chars:
     return df.mapInPandas(run, schema)
 
 
-def score_batch(scorer: Scorer, texts: list, max_chars: int | None, batch: int) -> list[tuple[str, float, float]]:
-    """(label, score, confidence) per text; pieces of all texts share the scorer's batches."""
+def score_batch(scorer: Scorer, texts: list, max_chars: int | None, batch: int) -> list[tuple[str, float, float, bool]]:
+    """(label, score, confidence, failed) per text; pieces of all texts share the scorer's batches."""
     sign = {"positive": 1.0, "negative": -1.0}
     pieces: list[tuple[int, str]] = []
     for i, value in enumerate(texts):
@@ -70,28 +70,30 @@ def score_batch(scorer: Scorer, texts: list, max_chars: int | None, batch: int)
             step = max_chars or len(value)
             pieces += [(i, value[k:k + step]) for k in range(0, len(value), step)]
     found: dict[int, list[tuple[str, float, int]]] = {}
+    failed: set[int] = set()
     for start in range(0, len(pieces), batch):
         part = pieces[start:start + batch]
-        for (i, piece), (label, confidence) in zip(part, _safe(scorer, [p for _, p in part])):
+        for (i, piece), (label, confidence, error) in zip(part, _safe(scorer, [p for _, p in part])):
+            failed.update([i] if error else [])
             found.setdefault(i, []).append((label.lower(), float(confidence), len(piece)))
     out = []
     for i in range(len(texts)):
         got = found.get(i, [])
         if len(got) > 1:
             score = sum(sign.get(label, 0.0) * c * n for label, c, n in got) / sum(n for _, _, n in got)
-            out.append(("positive" if score > 0 else "negative" if score < 0 else "neutral", score, abs(score)))
+            out.append(("positive" if score > 0 else "negative" if score < 0 else "neutral", score, abs(score), i in failed))
         elif got:
             label, confidence, _ = got[0]
-            out.append((label, sign.get(label, 0.0) * confidence, confidence))
+            out.append((label, sign.get(label, 0.0) * confidence, confidence, i in failed))
         else:
-            out.append(("neutral", 0.0, 0.0))
+            out.append(("neutral", 0.0, 0.0, False))
     return out
 
 
-def _safe(scorer: Scorer, texts: list[str]) -> list[tuple[str, float]]:
+def _safe(scorer: Scorer, texts: list[str]) -> list[tuple[str, float, bool]]:
     try:
-        return scorer(texts)
+        return [(label, confidence, False) for label, confidence in scorer(texts)]
     except Exception:
         if len(texts) == 1:
-            return [("neutral", 0.0)]
+            return [("neutral", 0.0, True)]
         return [r for t in texts for r in _safe(scorer, [t])]

@@ -120,13 +120,20 @@ def retry_delay(attempt: Column, base: int = vocab.RETRY["base"], factor: int =
 def event_fanout(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """Deliveries: every event to every active subscriber that listed its kind or ``*``.
 
-    A subscription to ``*`` becomes one row per kind of event that occurs (kinds are the names of triggers, a
-    handful), so that the join is an equi-join on the kind.
+    An event goes by two names, its kind and ``*``, and a subscriber waits under ``*`` or under kinds, never both, so
+    that the join is an equi-join on the name.
     """
-    kinds = events.select("event_type").distinct().agg(F.collect_set("event_type")).scalar()
-    wanted = F.when(F.array_contains("events", "*"), kinds).otherwise(F.array_distinct("events"))
-    targets = subscribers.where("active").select("subscriber_id", F.explode(wanted).alias("event_type"))
-    return events.join(targets, "event_type")
+    names = F.when(F.array_contains("events", "*"), F.array(F.lit("*"))).otherwise(F.array_distinct("events"))
+    targets = subscribers.where("active").select("subscriber_id", F.explode(names).alias("_name"))
+    named = events.withColumn("_name", F.explode(F.array_distinct(F.array("event_type", F.lit("*")))))
+    return named.join(targets, "_name").drop("_name")
+
+
+def fanout_totals(events: DataFrame, subscribers: DataFrame, key: str = "event_id") -> DataFrame:
+    """Deliveries per subscriber and kind, with the first and last ``key``: events are counted by kind before they meet
+    the subscribers, so that no delivery is listed."""
+    kinds = events.groupBy("event_type").agg(F.count("*").alias("deliveries"), F.min(key).alias("first_event"), F.max(key).alias("last_event"))
+    return event_fanout(kinds, subscribers).select("subscriber_id", "event_type", "deliveries", "first_event", "last_event")
 
 
 def newest_results(deliveries: DataFrame) -> DataFrame:

@@ -40,14 +40,15 @@ def impact_bands(t):
 
 
 _PATHS = """WITH RECURSIVE paths AS (
-  SELECT source_id, target_id AS end_id, [source_id, target_id] AS path, 1 AS depth, CAST(impact_score AS HUGEINT) AS product FROM edge
+  SELECT source_id, target_id AS end_id, [source_id, target_id] AS path, 1 AS depth, CAST(impact_score AS HUGEINT) AS product FROM edge WHERE source_id IN (SELECT r_regionkey FROM region)
   UNION ALL SELECT p.source_id, e.target_id, list_append(p.path, e.target_id), depth + 1, product * impact_score
   FROM paths p JOIN edge e ON e.source_id = p.end_id WHERE depth < 3 AND NOT list_contains(p.path, e.target_id)) """
 _DECAY = "CASE depth " + " ".join(f"WHEN {d} THEN {G.decay(d)!r}::DOUBLE" for d in (1, 2, 3)) + " END"
 
 
 def seeds(t):
-    return t.edge.select(F.col("source_id").alias("id")).distinct()
+    """The nodes asked about: the keys of ``region`` stand for the watch list of a user."""
+    return t.region.select(F.col("r_regionkey").cast("bigint").alias("id"))
 
 
 @query("propagation_paths", "edge", _PATHS + f"""
@@ -67,7 +68,7 @@ def propagation_total(t):
     return G.propagation_total(t.edge, seeds(t))
 
 
-_REACH = """WITH h0 AS (SELECT DISTINCT source_id AS center, source_id AS node FROM edge),
+_REACH = """WITH h0 AS (SELECT CAST(r_regionkey AS BIGINT) AS center, CAST(r_regionkey AS BIGINT) AS node FROM region),
 h1 AS (SELECT DISTINCT center, target_id AS node FROM h0 JOIN edge ON source_id = node),
 h2 AS (SELECT DISTINCT center, target_id AS node FROM h1 JOIN edge ON source_id = node),
 reach AS (SELECT center, node, min(depth) AS depth FROM (SELECT *, 0 AS depth FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL),
@@ -100,7 +101,7 @@ def ego_relation_counts(t):
 
 def _central_sql():
     """Betweenness by levels: up to four hops in networks of depth 1, credits handed back from the farthest level."""
-    out = ["""h0 AS (SELECT DISTINCT source_id AS center, source_id AS node FROM edge)""",
+    out = ["""h0 AS (SELECT CAST(r_regionkey AS BIGINT) AS center, CAST(r_regionkey AS BIGINT) AS node FROM region)""",
            """h1 AS (SELECT center, node FROM h0 UNION SELECT center, target_id FROM h0 JOIN edge ON source_id = node)""",
            """ego AS (SELECT DISTINCT center, least(node, target_id) AS a, greatest(node, target_id) AS b FROM h1 JOIN edge ON source_id = node)""",
            """g AS (SELECT center, a AS u, b AS v FROM ego UNION ALL SELECT center, b, a FROM ego)""",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsgauge.operators import reconcile
-from newsgauge.plans.q_scoring import lexicon_sql
+from newsgauge.plans.q_scoring import NEGATIVE, POSITIVE, lexicon_sql
 from newsgauge.plans.q_summaries import mean
 from newsgauge.plans.registry import query
 from newsgauge.plans.views import op_log_of, sentiment_of
@@ -18,8 +18,6 @@ def stream_of(t, table):
     return jobs.file_stream(t.spark, t.sf_dir, getattr(t, table).schema, f"{table}.parquet")
 
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
 
 @query("stream_dedup_ingest", "sentiment", "SELECT DISTINCT ticker, source, ts FROM sentiment")
 def stream_dedup_ingest(t):
@@ -34,25 +32,27 @@ _SLIDING = """w AS (SELECT *, unnest([time_bucket(INTERVAL '15 minutes', ts), ti
 
 @query("stream_alerts", "op_log", f"""WITH {_SLIDING}
 SELECT query_type, bin, bin + INTERVAL 30 MINUTES AS bin_end, {mean('duration_ms')} AS avg_duration, count(*) AS n FROM w
-WHERE bin + INTERVAL 30 MINUTES <= {_CLOSED} GROUP BY ALL HAVING {mean('duration_ms')} > 60""")
+GROUP BY ALL HAVING {mean('duration_ms')} > 60""")
 def stream_alerts(t):
-    return jobs.run_append(jobs.slow_alerts(op_log_of(stream_of(t, "events")), 60.0), "alerts")
+    windows = jobs.run_updates(jobs.duration_windows(op_log_of(stream_of(t, "events"))), "alerts", ["query_type", "bin", "bin_end"])
+    return windows.where(F.col("avg_duration") > 60.0)
 
 
 @query("stream_error_alerts", "op_log", f"""WITH {_SLIDING}
 SELECT bin, bin + INTERVAL 30 MINUTES AS bin_end, count(*) AS error_count FROM w
-WHERE severity >= 3 AND bin + INTERVAL 30 MINUTES <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type = 'error') GROUP BY ALL HAVING count(*) > 3""")
+WHERE severity >= 3 GROUP BY ALL HAVING count(*) > 3""")
 def stream_error_alerts(t):
-    return jobs.run_append(jobs.error_alerts(op_log_of(stream_of(t, "events")), 3), "error-alerts")
+    windows = jobs.run_updates(jobs.error_windows(op_log_of(stream_of(t, "events"))), "error-alerts", ["bin", "bin_end"])
+    return windows.where(F.col("error_count") > 3)
 
 
-@query("stream_rate_limits", "op_log", f"""
+@query("stream_rate_limits", "op_log", """
 SELECT client, query_type AS endpoint, time_bucket(INTERVAL '6 hours', ts) AS bin, time_bucket(INTERVAL '6 hours', ts) + INTERVAL 6 HOURS AS reset,
   count(*) AS request_count, count(*) >= 2 AS limited, greatest(0, 2 - count(*)) AS remaining FROM op_log
-WHERE time_bucket(INTERVAL '6 hours', ts) + INTERVAL 6 HOURS <= {_CLOSED} GROUP BY ALL""")
+GROUP BY ALL""")
 def stream_rate_limits(t):
     requests = op_log_of(stream_of(t, "events")).withColumnRenamed("query_type", "endpoint")
-    return jobs.run_append(jobs.rate_windows(requests, 2, "6 hours"), "rates")
+    return jobs.run_updates(jobs.rate_windows(requests, 2, "6 hours"), "rates", ["client", "endpoint", "bin", "reset"])
 
 
 @query("stream_latest_24h", "sentiment", f"""
@@ -88,7 +88,7 @@ def dual_write_parity(t):
 
 @query("stream_score", "", lexicon_sql("documents", "doc_id", "text"))
 def stream_score(t):
-    scored = jobs.score_stream(stream_of(t, "documents").select("doc_id", "text"), "text").drop("text")
+    scored = jobs.score_stream(stream_of(t, "documents").select("doc_id", "text"), "text", POSITIVE, NEGATIVE).drop("text")
     return jobs.run_append(scored, "score")
 
 

@@ -93,9 +93,7 @@ def retry_delay(t):
 SELECT subscriber_id, event_type, count(*) AS deliveries, min(event_id) AS first_event, max(event_id) AS last_event
 FROM events JOIN subscriber ON active AND (list_contains(events, event_type) OR list_contains(events, '*')) GROUP BY ALL""")
 def event_fanout(t):
-    out = L.event_fanout(t.events.select("event_id", "event_type"), t.subscriber)
-    return out.groupBy("subscriber_id", "event_type").agg(
-        F.count("*").alias("deliveries"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+    return L.fanout_totals(t.events, t.subscriber)
 
 
 def _queue(t):

@@ -153,10 +153,10 @@ class Tables:
 
     @cached_property
     def relation_log(self) -> DataFrame:
-        """Relation records: every purchase relates its user to the user of the event that follows it."""
+        """Relation records: every event relates its user to the user of the event that follows it."""
         e = self.events
         nxt = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("target_id"))
-        return (e.where(F.col("event_type") == "purchase").join(nxt, "event_id")
+        return (e.join(nxt, "event_id")
                 .select(F.col("event_id"), F.col("user_id").alias("source_id"), "target_id",
                         _pick(F.col("event_id"), _REL).alias("rel_type"),
                         _pick(F.col("event_id"), _STR).alias("strength"),
@@ -254,7 +254,7 @@ def op_log_of(events: DataFrame) -> DataFrame:
 _RELATION_LOG = f"""
 SELECT e.event_id, e.user_id AS source_id, n.user_id AS target_id, {_p('e.event_id', _REL)} AS rel_type,
   {_p('e.event_id', _STR)} AS strength, CAST(CAST(floor(e.value) AS BIGINT) % 101 AS INTEGER) AS impact_score, e.ts AS updated_at
-FROM events e JOIN events n ON n.event_id = e.event_id + 1 WHERE e.event_type = 'purchase'"""
+FROM events e JOIN events n ON n.event_id = e.event_id + 1"""
 
 # View name: (views it needs, its SELECT).
 SQL: dict[str, tuple[list[str], str]] = {

@@ -43,14 +43,25 @@ def dedup_ingest(stream: DataFrame, key: list[str], ts: str = "ts", late: str =
 
 def slow_alerts(op_log: DataFrame, threshold_ms: float, width: str = "30 minutes", slide: str = "15 minutes", late: str = LATE) -> DataFrame:
     """Every ``slide``, query types whose mean duration over the last ``width`` is above the threshold."""
+    return duration_windows(op_log, width, slide, late).where(F.col("avg_duration") > threshold_ms)
+
+
+def duration_windows(op_log: DataFrame, width: str = "30 minutes", slide: str = "15 minutes", late: str = LATE) -> DataFrame:
+    """Mean duration and count per query type and window."""
     means = telemetry.in_bins(timed(op_log, late), ["query_type"], width, slide).agg(
         exact_mean("duration_ms").alias("avg_duration"), F.count("*").alias("n"))
-    return _bin(means).where(F.col("avg_duration") > threshold_ms)
+    return _bin(means)
 
 
 def error_alerts(op_log: DataFrame, threshold: int, width: str = "30 minutes", slide: str = "15 minutes", late: str = LATE) -> DataFrame:
+    """Every ``slide``, windows of the last ``width`` with more than ``threshold`` severe errors."""
+    return error_windows(op_log, width, slide, late).where(F.col("error_count") > threshold)
+
+
+def error_windows(op_log: DataFrame, width: str = "30 minutes", slide: str = "15 minutes", late: str = LATE) -> DataFrame:
+    """Severe errors per window."""
     bad = timed(op_log.where(F.col("severity") >= 3), late)
-    return _bin(telemetry.in_bins(bad, [], width, slide).agg(F.count("*").alias("error_count"))).where(F.col("error_count") > threshold)
+    return _bin(telemetry.in_bins(bad, [], width, slide).agg(F.count("*").alias("error_count")))
 
 
 def rate_windows(requests: DataFrame, limit: int, period: str, late: str = LATE) -> DataFrame:
@@ -68,9 +79,9 @@ def _bin(df: DataFrame) -> DataFrame:
     return df.withColumns({"bin": instant_to_ntz(F.col("_w.start")), "bin_end": instant_to_ntz(F.col("_w.end"))}).drop("_w")
 
 
-def score_stream(stream: DataFrame, text: str) -> DataFrame:
-    """Label, score and confidence of every text of a stream."""
-    return lexicon_score(stream, text)
+def score_stream(stream: DataFrame, text: str, *words: list[str]) -> DataFrame:
+    """Label, score and confidence of every text of a stream; ``words``: the positive and the negative ones."""
+    return lexicon_score(stream, text, *words)
 
 
 def run_append(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -84,6 +95,28 @@ def run_append(stream: DataFrame, label: str, path: str | None = None, checkpoin
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_updates(stream: DataFrame, label: str, key: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """The newest state of every ``key`` of an aggregated stream, windows that are still open included.
+
+    Every batch writes the rows it changed to a folder of its own; the newest row per key counts. Conditions on an
+    aggregate belong on the result, since a later batch may undo them.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, label)
+    checkpoint = checkpoint or scratch_path(spark, f"{label}-checkpoint")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(os.path.join(path, "batch=-1"))  # a run without data
+    query = (stream.writeStream.outputMode("update").foreachBatch(batch_writer(path))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    rest = F.struct(*[c for c in stream.columns if c not in key])
+    written = spark.read.schema(f"{_ddl(stream)}, `batch` BIGINT").parquet(path)
+    return written.groupBy(*key).agg(F.max_by(rest, "batch").alias("_newest")).select(*key, "_newest.*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
 def run_batches(stream: DataFrame, label: str, body: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Calls ``body(rows, batch_id)`` for every micro-batch of what is available."""
     checkpoint = checkpoint or scratch_path(stream.sparkSession, f"{label}-checkpoint")
@@ -107,24 +140,36 @@ def run_copy(stream: DataFrame, label: str, path: str | None = None, checkpoint:
 
 def run_dual_write(stream: DataFrame, label: str, secondary: Callable[[DataFrame, int], None] | None = None,
                    on_failure: Callable[[int, Exception], None] | None = None) -> tuple[str, str]:
-    """Every batch to two folders. The primary must succeed; a failure of the secondary is reported and left for
-    reconciliation. Returns both paths."""
+    """Every batch to two folders. The primary must succeed; a failure of the secondary goes to ``on_failure``, without it
+    to the table of :func:`dual_write_failures`, and is left for reconciliation. Returns both paths."""
     spark = stream.sparkSession
     first, second = scratch_path(spark, f"{label}-primary"), scratch_path(spark, f"{label}-secondary")
     primary, secondary = batch_writer(first), secondary or batch_writer(second)
+    failures = batch_writer(f"{first}-failures")
+    failures(spark.createDataFrame([], _FAILURE), -1)
+
+    def record(batch_id: int, error: Exception) -> None:
+        failures(spark.createDataFrame([(batch_id, f"{type(error).__name__}: {error}")], _FAILURE), batch_id)
 
     def both(rows: DataFrame, batch_id: int) -> None:
         primary(rows, batch_id)
         try:
             secondary(spark.read.parquet(os.path.join(first, f"batch={batch_id}")), batch_id)
         except Exception as error:
-            if on_failure is not None:
-                on_failure(batch_id, error)
+            (on_failure or record)(batch_id, error)
 
     run_batches(stream, label, both)
     return first, second
 
 
+_FAILURE = "batch_id BIGINT, error STRING"
+
+
+def dual_write_failures(spark: SparkSession, first: str) -> DataFrame:
+    """(batch_id, error) of the batches that the secondary of :func:`run_dual_write` did not take, by the primary's path."""
+    return spark.read.schema(_FAILURE).option("recursiveFileLookup", "true").parquet(f"{first}-failures")
+
+
 def dual_write_parity(stream: DataFrame, label: str, issues: Column, key: str = "id") -> DataFrame:
     """Writes to two folders and reconciles them."""
     spark = stream.sparkSession

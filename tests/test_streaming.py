@@ -65,6 +65,24 @@ def test_rate_windows(spark, landed):
     assert sum(r.request_count for r in got) == len(closed)
 
 
+def test_windows_still_open(spark, landed):
+    """Five batches, one state per window: the last ones too, and each as the newest batch left it."""
+    means = jobs.run_updates(jobs.duration_windows(stream(spark, landed)), "t", ["query_type", "bin", "bin_end"])
+    w = telemetry.in_bins(landed[1], ["query_type"], "30 minutes", "15 minutes").agg(F.avg("duration_ms").alias("m"), F.count("*").alias("n"))
+    assert sorted((r.query_type, r.bin, r.n, round(r.avg_duration, 9)) for r in means.collect()) == sorted((r.query_type, r._w.start, r.n, round(r.m, 9)) for r in w.collect())
+    rates = jobs.run_updates(jobs.rate_windows(stream(spark, landed), 20, "3 hours"), "t", ["client", "endpoint", "bin", "reset"])
+    assert rates.agg(F.sum("request_count")).first()[0] == 500
+
+
+def test_failed_secondary_is_recorded(spark, landed):
+    def refuse(rows, batch_id):
+        if batch_id == 2:
+            raise OSError("no space")
+
+    first, _ = jobs.run_dual_write(stream(spark, landed), "t", refuse)
+    assert [tuple(r) for r in jobs.dual_write_failures(spark, first).collect()] == [(2, "OSError: no space")]
+
+
 def test_latest_over_batches(spark, landed):
     columns = ["id", "ticker", "ts", "sentiment_score"]
     rows = stream(spark, landed).select(*columns)

@@ -149,10 +149,30 @@ def test_numbers_in_chunks_equal_one_window(spark):
 def test_ranks_between(spark):
     df = spark.range(0, 5000, 7).withColumn("x", F.col("id") * F.col("id"))
     ordered = sorted(r.x for r in df.collect())
-    got = sorted(r.x for r in ranks_between(df, "x", 100, 133, bins=50).collect())
+    got = sorted(r.x for r in ranks_between(df, "x", 100, 133).collect())
     assert got == ordered[100:133]
 
 
+def test_ranks_beside_an_outlier(spark):
+    df = spark.range(1_000_000, 1_003_000).union(spark.createDataFrame([(9 * 10 ** 15,), (-5,)], "id long"))
+    assert sorted(r.id for r in ranks_between(df, "id", 999, 1010).collect()) == list(range(1_000_998, 1_001_009))
+    assert [r.id for r in ranks_between(df, "id", 3001, 3002).collect()] == [9 * 10 ** 15]
+
+
+def test_quantiles_of_a_narrow_range(spark):
+    """All values lie in one bin of the first histogram; no piece of the second holds more than a small part of them."""
+    rng = np.random.default_rng(4)
+    values = rng.uniform(1000, 1005, 20_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": np.where(np.arange(20_000) % 3, "a", "b"), "v": values}))
+    got = {r.g: (r.q1, r.q9) for r in exact_quantiles(df, ["g"], "v", {"q1": 0.1, "q9": 0.9}).collect()}
+    for g, rest in (("a", (1, 2)), ("b", (0,))):
+        own = values[np.isin(np.arange(20_000) % 3, rest)]
+        assert got[g] == pytest.approx(tuple(np.quantile(own, [0.1, 0.9])), rel=1e-12)
+    ends = df.crossJoin(df.agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")))
+    from newsgauge.functions.stats import _piece
+    assert ends.groupBy(_piece(F.col("v"))).count().agg(F.max("count")).first()[0] < 40
+
+
 def test_latest_within_window(spark):
     rows = [(1, "A", datetime(2024, 1, 1, 0), 0.1, "neutral"), (2, "A", datetime(2024, 1, 1, 12), 0.1, "neutral"), (3, "A", datetime(2024, 1, 3), 0.1, "neutral")]
     got = S.latest_by_ticker(spark.createDataFrame(rows, SCHEMA), "2024-01-02 00:00:00", 24, 1).collect()

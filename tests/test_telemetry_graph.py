@@ -201,7 +201,9 @@ def test_lexicon_and_model_agree_and_cut_nothing(spark):
         return score
 
     more = df.union(spark.createDataFrame([(6, "boom")], df.schema))
-    got = {r.id: (r.sentiment_label, r.sentiment_score, r.confidence) for r in scoring.model_score(more, "text", load, max_chars=1000, batch=3).collect()}
+    scored = scoring.model_score(more, "text", load, max_chars=1000, batch=3).collect()
+    assert [r.id for r in scored if r.scoring_failed] == [6]
+    got = {r.id: (r.sentiment_label, r.sentiment_score, r.confidence) for r in scored}
     assert got[6] == got[3] == got[4] == ("neutral", 0.0, 0.0)
     assert got[0] == ("negative", -0.5, 0.5)
     assert got[5][0] == "negative" or got[5][1] == pytest.approx((2000 * 1.0 - 5000 * 0.5) / 7000)
