@@ -92,24 +92,31 @@ def usage_stats(requests: DataFrame, as_of, limit: int, period_seconds: int, sha
                        F.coalesce(F.sum("_a"), F.lit(0)).cast("long").alias("approaching_limit"))
 
 
-def rate_limits(requests: DataFrame, limit: int, period_seconds: int) -> DataFrame:
+def rate_limits(requests: DataFrame, limit: int, period_seconds: int, slices: int = 64) -> DataFrame:
     """Each request with the number of requests of its (client, endpoint) in the period up to it, limited or not.
 
     Every request counts from its time on and stops counting one period later, so the number is a running sum of
     +1 and -1, which is linear where a sliding frame would go through its rows again for each request. Time is cut
-    into cells of one period, so that a busy client is shared by many tasks: the -1 of a request lies in the cell
-    after its own, and a cell starts with as many live requests as will stop counting in it.
+    into cells of one period, and a cell into ``slices``, so that a busy client is shared by many tasks even within one
+    period: the -1 of a request lies in the cell after its own, a cell starts with as many live requests as will stop
+    counting in it, and a slice with the sum of those before it in its cell, one summary row each.
     """
     period = int(period_seconds) * 1_000_000
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     steps = F.array(F.struct(at.alias("at"), F.lit(1).alias("delta")), F.struct((at + period).alias("at"), F.lit(-1).alias("delta")))
-    spread = requests.select("*", F.explode(steps).alias("_s")).withColumn("_cell", F.floor(F.col("_s.at") / period))
-    cell = Window.partitionBy("client", "endpoint", "_cell")
-    upto = cell.orderBy("_s.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    live = F.sum("_s.delta").over(upto) + F.count_if(F.col("_s.delta") < 0).over(cell)
-    own = spread.withColumn("request_count", live).where(F.col("_s.delta") > 0)
+    when = F.col("_s.at")
+    slice_ = F.struct("client", "endpoint", F.floor(when / period).alias("cell"),  # as a struct, nulls are equal in the join
+                      F.floor(F.pmod(when, F.lit(period)) * F.lit(int(slices)) / period).alias("slice"))
+    spread = requests.select("*", F.explode(steps).alias("_s")).withColumn("_slice", slice_)
+    cell = Window.partitionBy("_slice.client", "_slice.endpoint", "_slice.cell")
+    earlier = cell.orderBy("_slice.slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = (spread.groupBy("_slice").agg(F.sum("_s.delta").alias("_sum"), F.count_if(F.col("_s.delta") < 0).alias("_ends"))
+              .select("_slice", (F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) + F.sum("_ends").over(cell)).alias("_before")))
+    upto = Window.partitionBy("_slice").orderBy(when).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = (spread.join(before, "_slice").withColumn("request_count", F.sum("_s.delta").over(upto) + F.col("_before"))
+           .where(F.col("_s.delta") > 0))
     return own.withColumns({"limited": F.col("request_count") >= limit,
-                            "remaining": F.greatest(F.lit(0), limit - F.col("request_count"))}).drop("_s", "_cell")
+                            "remaining": F.greatest(F.lit(0), limit - F.col("request_count"))}).drop("_s", "_slice", "_before")
 
 
 def retry_delay(attempt: Column, base: int = vocab.RETRY["base"], factor: int = vocab.RETRY["factor"], cap: int = vocab.RETRY["cap"]) -> Column:

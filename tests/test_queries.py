@@ -11,7 +11,7 @@ from newsgauge.plans import load
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-SLOW = {"ego_central", "partitioned_write", "csv_roundtrip_ticker"}  # covered at the unit level, and by check.py
+SLOW = {"partitioned_write", "csv_roundtrip_ticker"}  # covered at the unit level, and by check.py
 
 
 @pytest.fixture(scope="module")

@@ -118,6 +118,19 @@ def test_top_by_ticker_is_cut_before_the_shuffle(scored):
     assert [(r.ticker, r.id) for r in top.collect()] == list(zip(want.ticker, want.id))
 
 
+ONE = (1, "A", datetime(2024, 1, 1), 0.5, "positive")
+
+
+@pytest.mark.parametrize("rows", [[], [ONE], [(i, *ONE[1:]) for i in range(5)], [(1, None, None, None, None)]], ids=["none", "one", "constant", "nulls"])
+@pytest.mark.parametrize("summary", [
+    S.ticker_stats, S.overall_summary, S.verification, S.boxplot, S.histogram, S.daily_series, S.raw_series, S.heatmap,
+    S.label_distribution, S.dominant_label, lambda df: S.average_since(df, "2024-01-01 00:00:00"), lambda df: S.top_by_ticker(df, 3),
+    lambda df: S.latest_by_ticker(df, "2024-01-02 00:00:00", 48, 1)])
+def test_summaries_of_few_rows(spark, summary, rows):
+    got = summary(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert len(got) <= max(len(rows), 1) + 1 or summary is S.histogram  # verification has a row for all
+
+
 def test_five_bands(spark):
     scores = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in scores], "s double").coalesce(1).select(L.label5("s")).collect()]

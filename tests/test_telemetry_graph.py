@@ -23,6 +23,15 @@ def test_sliding_counts_equal_brute_force(spark):
         assert got[i] == (n, n >= 5, max(0, 5 - n))
 
 
+def test_one_busy_client_in_one_period(spark):
+    """Slices share the work of a cell; a client without name counts as one."""
+    rows = [(i, None if i % 5 == 0 else "hot", "e", T0 + timedelta(milliseconds=i * 40)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, client string, endpoint string, ts timestamp_ntz")
+    for slices in (1, 7, 64):
+        got = {r.id: r.request_count for r in L.rate_limits(df, 5, 3600, slices).collect()}
+        assert got == {i: i // 5 + 1 if i % 5 == 0 else i - i // 5 for i, *_ in rows}
+
+
 @pytest.mark.parametrize("weight", [0.7, 0.05, 1.0])
 def test_moving_average_equals_the_recursion(spark, weight):
     rng = random.Random(2)
