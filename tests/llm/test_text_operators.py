@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from newsgauge.llm import bytewords, cotrain, divergence, langid, minhash, packing
 from newsgauge.llm.queries import vocabulary
 
@@ -138,6 +139,34 @@ def test_near_duplicates(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def brute_kept(rows, words_=5, percent=80):
+    """Ids that stay: the smallest of every group of texts linked by shingles of ``words_`` words."""
+    sets = {i: {tuple(w[k:k + words_]) for k in range(max(1, len(w) - words_ + 1))} if (w := words((text or "").lower())) else set() for i, text in rows}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if label[i] != label[j] and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    return sorted(i for i, x in label.items() if i == x)
+
+
+def test_near_duplicates_stage(spark):
+    """Five words a shingle: texts with 4 in 100 words edited stay, those with 1 in 100 go."""
+    rng, rows = np.random.default_rng(8), [(900, None), (901, ""), (902, "one"), (903, "One"), (904, "two words")]
+    for i in range(8):
+        base = prose("aa", 200).split()
+        for k, edits in enumerate((0, 0, 2, 8, 8)):
+            w = list(base)
+            for at in rng.choice(np.arange(5, 195, 10), edits, replace=False):
+                w[at] = f"y{rng.integers(1_000_000)}"
+            rows.append((10 * i + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_kept(rows)
+    assert len(want) > len(brute_kept(rows, 2)) and len(want) < len(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
 def test_large_mixed_bands(spark, monkeypatch):
     """Copies with different numbers of edits: some linked, some just not, all in the same bands."""
     base = prose("aa", 120).split()
