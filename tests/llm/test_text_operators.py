@@ -1,5 +1,6 @@
 """Language ID, divergence rules, near duplicates, packing and co-training against plain Python."""
 
+import base64
 import re
 import zlib
 from collections import Counter
@@ -236,3 +237,24 @@ def test_co_training(spark):
     for few in (labels.limit(0), labels.where("quality = 1")):
         plain = cotrain.fit(df, few)
         assert not plain.usable and len({r.found.score for r in cotrain.classify(df, plain, into="found").collect()}) == 1
+
+
+def test_language_rejects_what_no_language_has(spark):
+    """Gibberish and unlearned scripts go at all lengths, clean texts stay, though some of the labelled texts are junk."""
+    rng = np.random.default_rng(3)
+
+    def text(kind, n):
+        if kind in VOCABULARY:
+            return " ".join(rng.choice(VOCABULARY[kind], n, p=ZIPF))
+        if kind == "base64":
+            return " ".join(base64.b64encode(rng.bytes(6)).decode() for _ in range(n))
+        low, high = {"letters": (97, 123), "cyrillic": (0x430, 0x450), "greek": (0x3B1, 0x3CA)}[kind]
+        return " ".join("".join(map(chr, rng.integers(low, high, rng.integers(2, 9)))) for _ in range(n))
+
+    rows = [(i, text(lang, 40 + i % 200), lang) for i, lang in enumerate([*VOCABULARY] * 400)]
+    rows += [(2000 + i, text(kind, 60), lang) for i, (lang, kind) in enumerate((lang, kind) for lang in VOCABULARY for kind in ("base64", "letters"))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(kind, n, text(kind, n)) for kind in (*VOCABULARY, "base64", "letters", "cyrillic", "greek") for n in (8, 20, 100, 300, 1000) for _ in range(10)]
+    got = langid.identify(spark.createDataFrame(asked, "kind string, n int, text string"), model).select("kind", "n", "language.*").collect()
+    assert [(r.kind, r.n, r.score) for r in got if r.rejected == (r.kind in VOCABULARY)] == []
+    assert {(r.kind, r.lang_pred) for r in got if r.kind in VOCABULARY} == {(x, x) for x in VOCABULARY}
