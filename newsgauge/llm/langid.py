@@ -81,7 +81,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         clusters: int = 4, most_languages: int = 1000, spread: float = 6.0, seed: int = 1) -> Model:
     """The model of ``labelled``. Rows without text or language are not used.
 
-    The sample is bounded: some ``per_language`` texts of each of the ``most_languages`` most frequent languages, chosen by
+    Document frequencies are counted over all usable rows. The sample for the centroids is bounded: some ``per_language`` texts of each of the ``most_languages`` most frequent languages, chosen by
     a hash of ``key`` and text, whole texts each. The model holds at most ``most_languages * clusters`` centroids of
     16 KB. Without a usable row the model is empty.
 
@@ -112,7 +112,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *seen[at].tolist()], pa.int64())],
                                          names=["gram", "n"])
 
-    found = {r["gram"]: r["n"] for r in sample.select("text").mapInArrow(documents_with, "gram int, n bigint")
+    found = {r["gram"]: r["n"] for r in usable.select("text").mapInArrow(documents_with, "gram int, n bigint")
              .groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     total = found.pop(-1, 0)
     idf = np.full(DIMENSIONS, math.log(1 + total) + 1, np.float32)  # what no text has is the surest sign of unlearned text

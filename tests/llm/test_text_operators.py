@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -258,3 +259,12 @@ def test_language_rejects_what_no_language_has(spark):
     got = langid.identify(spark.createDataFrame(asked, "kind string, n int, text string"), model).select("kind", "n", "language.*").collect()
     assert [(r.kind, r.n, r.score) for r in got if r.rejected == (r.kind in VOCABULARY)] == []
     assert {(r.kind, r.lang_pred) for r in got if r.kind in VOCABULARY} == {(x, x) for x in VOCABULARY}
+
+
+def test_language_weights_cover_all_rows(spark):
+    """Document frequencies of the whole corpus, though the sample has about as many texts of each language."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(VOCABULARY["bb" if i % 10 == 0 else "aa"], 30)), "bb" if i % 10 == 0 else "aa") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    found = sum((block > 0).sum(0) for group in bytewords.groups(pa.array([r[1] for r in rows])) for block in langid.counts(group))
+    assert model.idf == pytest.approx(np.log(401 / (1 + found)) + 1, rel=1e-6)
