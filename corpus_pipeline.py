@@ -34,9 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates, a similarity of 0.8 in five-word shingles, the document with the smallest id stays; of
-    rows that repeat an id, one. Documents without id stay."""
+    rows alike in id and text, one. Documents without id stay."""
     kept = minhash.near_duplicates(docs, words=5).where("kept").select("doc_id").distinct()
-    return (docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return (docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
             .unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns))
 
 

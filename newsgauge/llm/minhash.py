@@ -187,8 +187,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     copies = known.groupBy("a", "b", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     same = staged(known.select("id", "a", "b", "n").join(copies, ["a", "b", "n"]).where("id > first")
-                  .select(F.col("first").alias("u"), F.col("id").alias("v")).distinct())
-    single = known.join(same.select(F.col("v").alias("id")), "id", "left_anti")
+                  .select(F.col("first").alias("u"), F.col("id").alias("v"), "a", "b", "n").distinct())
+    one = ["id", "a", "b", "n"]  # a text of an id: its others stay when it goes
+    single = known.join(same.select(F.col("v").alias("id"), "a", "b", "n"), one, "left_anti").dropDuplicates(one)
+    same = same.select("u", "v").distinct()
     member = single.select("id", "n", F.explode("bands").alias("band"))
     shared = (member.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last"))
               .where(F.col("lead.id") < F.col("last")).select("band", "lead"))

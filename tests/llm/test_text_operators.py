@@ -268,3 +268,14 @@ def test_language_weights_cover_all_rows(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
     found = sum((block > 0).sum(0) for group in bytewords.groups(pa.array([r[1] for r in rows])) for block in langid.counts(group))
     assert model.idf == pytest.approx(np.log(401 / (1 + found)) + 1, rel=1e-6)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """A text of a repeated id keeps its links though another text of the id is a copy; different texts of a kept id stay."""
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(rng.choice(VOCABULARY[lang], 100)) for lang in VOCABULARY)
+    rows = [(1, a), (2, a), (2, b), (3, b + " zz"), (4, c), (4, b[:200]), (4, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted({(1, a), (4, c), (4, b[:200])})
