@@ -121,8 +121,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     def of_language(table: pa.Table) -> pa.Table:
         table = table.sort_by("pick")
-        blocks = [block for group in bytewords.groups(table.column("text")) for block in counts(group)]
-        x = np.concatenate([_vectors(b, idf)[b.any(1)] for b in blocks])
+        x = np.concatenate([_vectors(b, idf)[b.any(1)] for group in bytewords.groups(table.column("text")) for b in counts(group)])
         return pa.table({"lang": table.column("lang")[:1].cast(pa.string()).combine_chunks(),
                          "centroids": pa.array([_spherical_means(x, clusters).astype(np.float32).tobytes()], pa.binary())})
 
@@ -168,7 +167,7 @@ def _bounds(usable: DataFrame, model: Model, spread: float) -> np.ndarray:
                     cell = ((lang + 1) * (_MAX_BUCKET + 1) + _bucket(total)) * _STEPS + step
                     seen.update(dict(zip(*(x.tolist() for x in np.unique(cell[total > 0], return_counts=True)), strict=True)))
 
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):  # no copy of a whole batch
             own = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             known = own >= 0
             add(batch.column(0).filter(pa.array(known)), own[known])
