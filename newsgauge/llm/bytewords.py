@@ -104,18 +104,18 @@ def chain(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def groups(column: pa.Array | pa.ChunkedArray) -> Iterator[Texts]:
+def groups(column: pa.Array | pa.ChunkedArray, most_bytes: int = GROUP_BYTES) -> Iterator[Texts]:
     """The texts of an Arrow string column (null as empty), a group at a time."""
     if isinstance(column, pa.ChunkedArray):
         for chunk in column.chunks:
-            yield from groups(chunk)
+            yield from groups(chunk, most_bytes)
         return
     wide = pa.types.is_large_string(column.type)
     edges = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        to = int(np.searchsorted(edges, edges[at] + GROUP_BYTES, "right")) - 1
+        to = int(np.searchsorted(edges, edges[at] + most_bytes, "right")) - 1
         to = min(max(to, at + 1), len(column))
         part = column.slice(at, to - at)
         if part.null_count:  # what lies under a null is not part of the texts
