@@ -2,7 +2,7 @@
 
 Documents are tokenised, given an end token and, only where longer than a sequence, cut into pieces. Pieces are dealt to
 groups of bounded size; every group is packed best fit, longest first. Its nearly full bins are done, its underfull bins go
-on as items of their own, and groups are merged, a few into one, for another round, until one group is left.
+on as items of their own, and neighbouring groups are merged, a few into one, for another round, until one group is left.
 """
 
 from __future__ import annotations
@@ -17,14 +17,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from newsgauge.llm.bpe import Merges
 from newsgauge.llm.ordering import scalar
+from newsgauge.llm.segments import segmented
 from newsgauge.session import drop_staged, staged
 
-_CACHED_WORDS = 150_000
+_CACHED_WORDS = 50_000
+#: Bytes of text whose segments are looked up together.
+_GROUP_BYTES = 1 << 21
 
 
 class _Encoder:
-    """Token ids of whole texts, as little-endian bytes, word by word through a cache of bounded size.
+    """Token ids of whole texts, as little-endian bytes, word by word through a cache of bounded size. ``merges`` has the same
+    ids for most words, many at once.
 
     The vocabulary drops white space and no token spans it, so the ids of a text are those of its words one after the
     other. A word's closing marks are split off, and a word of ASCII letters is looked up in lower case; both leave the ids
@@ -39,6 +44,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Merges(path)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -96,12 +102,29 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     fields += [("ids", pa.binary())] * with_ids
 
+    def tokens(encoder: _Encoder, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as bytes: those of its segments, each distinct one looked up once for some texts."""
+        for _, segments in segmented(column, False, _GROUP_BYTES):
+            covered, ids, sizes = encoder.merges.segments(segments.names)
+            rest = [encoder.text(x) for x in segments.names.filter(pa.array(~covered)).to_pylist()]
+            ends = np.cumsum(np.concatenate([sizes * 4, [len(x) for x in rest]]).astype(np.int64))
+            known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)),
+                                                                                      pa.py_buffer(ids.astype("<u4").tobytes() + b"".join(rest))])
+            place = np.zeros(len(covered), np.int64)
+            place[covered], place[~covered] = np.arange(len(sizes)), len(sizes) + np.arange(len(rest))
+            taken = known.take(pa.array(place[segments.index]))
+            places = np.frombuffer(taken.buffers()[1], np.int64)[:len(taken) + 1]
+            data = memoryview(taken.buffers()[2] or b"")
+            bounds = places[np.concatenate([[0], np.cumsum(segments.counts)])].tolist()
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                yield bytes(data[low:high])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
             out: list[list] = [[] for _ in fields]
-            for i, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoder.text(value.as_py() or "") + closing
+            for i, ids in zip(batch.column(0), tokens(encoder, batch.column(1)), strict=True):
+                ids += closing
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at:at + 4 * length]
                     row = (i.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), part)
@@ -138,13 +161,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(items: DataFrame, item: str, size: str, capacity: int = 4096, group_rows: int = 16_384, fan_in: int = 8,
-         nearly_full: float = 0.98, residual: int = 1024) -> DataFrame:
+         nearly_full: float = 0.98) -> DataFrame:
     """(item, sequence_id, offset) for every row of the staged ``items``; ``item`` must be a unique long, sizes 1 to
     ``capacity``.
 
-    A group has about ``group_rows`` items. A bin is done if filled to ``nearly_full``; of the others the ``residual``
-    emptiest go on, and the rest, in which items of other groups find room least, is done too. So a merged group has at
-    most ``fan_in * residual`` items. The sequence takes the number of its first item.
+    A group has about ``group_rows`` items. A bin is done if filled to ``nearly_full`` or with less room than the smallest
+    underfull bin of all fills, so that nothing can be added to it; all others go on. ``fan_in`` neighbouring groups are merged for
+    the next round, and dealt to several again where together they hold more than twice ``group_rows`` bins. The last round
+    is that in which all groups are one, or the parts of one. The sequence takes the number of its first item.
     """
     total = scalar(items.agg(F.count("*")))[0]
     groups = max(1, -(-total // group_rows))
@@ -156,21 +180,24 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = 4096, group_row
         head = np.zeros(len(fill), np.int64)
         at_start = offset == 0
         head[bin_of[at_start]] = item_ids[at_start]
-        open_ = np.zeros(len(fill), bool)
-        under = np.flatnonzero(fill < nearly_full * capacity)
-        open_[under[np.argsort(fill[under], kind="stable")][:residual]] = True
-        return pa.table({"item": item_ids, "bin": head[bin_of], "offset": offset, "fill": fill[bin_of], "open": open_[bin_of]})
+        return pa.table({"item": item_ids, "bin": head[bin_of], "offset": offset, "fill": fill[bin_of],
+                         "node": pa.array(np.repeat(table.column("node").to_numpy()[:1], len(sizes)), pa.int64())})
 
-    level = items.select(F.col(item).alias("item"), F.col(size).alias("size"))
+    level = items.select(F.col(item).alias("item"), F.col(size).alias("size"), F.pmod(F.xxhash64(item), F.lit(groups)).cast("bigint").alias("node"))
     rounds: list[DataFrame] = []
     while True:
-        grouped = level.groupBy(F.pmod(F.xxhash64("item", F.lit(len(rounds))), F.lit(groups)).alias("group"))
-        placed = staged(grouped.applyInArrow(place, "item bigint, bin bigint, offset bigint, fill bigint, open boolean"))
+        parts = level.groupBy("node").agg(F.ceil(F.count("*") / (2 * group_rows)).alias("parts"))
+        dealt = level.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("item", F.lit(len(rounds))), F.col("parts")))
+        placed = staged(dealt.select("item", "size", "node", "part").groupBy("node", "part")
+                        .applyInArrow(place, "item bigint, bin bigint, offset bigint, fill bigint, node bigint"))
         rounds.append(placed)
         if groups == 1:
             break
         groups = -(-groups // fan_in)
-        level = placed.where(F.col("open") & (F.col("offset") == 0)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
+        under = placed.where((F.col("offset") == 0) & (F.col("fill") < nearly_full * capacity))
+        least = scalar(under.agg(F.min("fill")))[0] or 0
+        level = under.where(F.col("fill") + least <= capacity).select(
+            F.col("bin").alias("item"), F.col("fill").alias("size"), F.floor(F.col("node") / fan_in).alias("node"))
 
     # Where each bin of a round ends up: from the last round to the first, so that the small tables are joined first.
     ends = None

@@ -41,7 +41,9 @@ class Segments:
         odd = np.flatnonzero(pc.match_substring_regex(whole, OTHER_SPACE).to_numpy(zero_copy_only=False))
         if len(odd):
             blank = blank[~np.isin(np.searchsorted(edges, blank, "right") - 1, odd)]
-        starts = np.unique(np.concatenate([edges[:-1][np.diff(edges) > 0], blank]))
+        begins = np.zeros(len(data), bool)
+        begins[edges[:-1][np.diff(edges) > 0]] = begins[blank] = True
+        starts = np.flatnonzero(begins)
         cuts = np.append(starts, len(data)).astype(np.int32)
         parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         self.names: pa.Array = parts.dictionary

@@ -8,10 +8,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsgauge.llm import bytewords, cotrain, divergence, langid, minhash, packing
+from newsgauge.llm import bpe, bytewords, cotrain, divergence, langid, minhash, packing
 from newsgauge.llm.queries import vocabulary
+from newsgauge.session import staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _m string, quality string"
@@ -196,7 +198,7 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    got = packing.pack_documents(docs, vocabulary(), group_rows=40, fan_in=2, residual=8).toPandas()
+    got = packing.pack_documents(docs, vocabulary(), group_rows=40, fan_in=2).toPandas()
     want = Counter()
     for r in docs.collect():
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
@@ -223,6 +225,30 @@ def test_encoder_equals_the_tokenizer(text):
         assert np.frombuffer(encoder.text(text), "<u4").tolist() == want
 
 
+def test_merges_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCÉÀèßÿ .,!?-0123456789\n\t×'|…é_#$")
+    texts = ["", " ", "aaaaaaaaaaaaaaa", " ÀÉÿ÷", "a×b", "x1234.5,", "Z" * 300, " ?!?... ", "don't", "<|endoftext|>"]
+    texts += ["".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(vocabulary())
+    covered, ids, sizes = bpe.Merges(vocabulary()).segments(pa.array(["skipped", *texts]).slice(1))
+    ends = np.cumsum(sizes)
+    got = [ids[a:b].tolist() for a, b in zip(ends - sizes, ends, strict=True)]
+    assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x, c in zip(texts, covered, strict=True) if c]
+    assert covered.sum() > 1000 and not covered[[4, 8, 9]].any()
+
+
+@pytest.mark.parametrize("sizes", ["1400 + id % 1700", "2600 + id % 900", "1 + id % 4095", "2049"])
+def test_packing_in_groups_loses_little(spark, sizes):
+    items = staged(spark.range(3000).select(F.col("id").alias("item"), F.expr(sizes).cast("bigint").alias("size")))
+    alone = packing.pack(items, "item", "size").toPandas()
+    grouped = packing.pack(items, "item", "size", group_rows=300, fan_in=3).toPandas()
+    assert len(grouped) == len(alone) == 3000
+    assert grouped["sequence_id"].nunique() <= 1.05 * alone["sequence_id"].nunique()
+
+
 def test_co_training(spark):
     good = [(i, prose("aa", 80), "aa", f"s{i % 5}", 500) for i in range(300)]
     bad = [(1000 + i, " ".join(f"{w.upper()}!!" for w in prose("aa", 80).split()), "aa", "spam", 50) for i in range(100)]
