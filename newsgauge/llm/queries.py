@@ -129,7 +129,7 @@ WHERE rank <= 20"""
 @_query
 def op9_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best matches of every twentieth vector among all."""
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).drop("query_row")
 
 
 @_query

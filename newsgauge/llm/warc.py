@@ -19,9 +19,12 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
+from newsgauge.llm.ordering import scalar
 from newsgauge.session import scratch_path, staged
 
 _CHUNK = 1 << 20
+#: Bytes of an archive that a task reads back.
+_READ_BYTES = 4 << 20
 _GZIP = 16 + zlib.MAX_WBITS
 RESPONSE, REVISIT = "response", "revisit"
 #: Column, type, WARC header of what an index row tells about a record.
@@ -163,8 +166,8 @@ class _Stream:
                 yield part
 
 
-def _normalise_file(archive: str, folder: str, level: int) -> list[tuple]:
-    """Rewrites one archive; returns its index rows."""
+def _normalise_file(archive: str, folder: str, level: int, at_once: int = 10_000) -> Iterator[list[tuple]]:
+    """Rewrites one archive; gives its index rows, some at a time."""
     source_fs, source = _filesystem(archive)
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -185,11 +188,15 @@ def _normalise_file(archive: str, folder: str, level: int) -> list[tuple]:
             row = (f"{folder}/{name}", start, at - start, *(headers.get(h.lower()) for _, h in _HEADERS))
             index.write(json.dumps(row[1:]).encode() + b"\n")
             rows.append(row)
+            if len(rows) == at_once:
+                yield rows
+                rows = []
             for _ in stream.take(4):  # the blank lines after a record
                 pass
     fs.move(attempt, f"{root}/{name}")
     fs.move(f"{attempt}.idx", f"{root}/{name}.idx")
-    return rows
+    if rows:
+        yield rows
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 3) -> DataFrame:
@@ -201,10 +208,8 @@ def normalise(archives: DataFrame, folder: str, level: int = 3) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                rows = _normalise_file(archive, folder, level)
-                for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if c else pa.array([], pa.string()) for c in zip(*rows[at:at + 10_000], strict=True)],
-                                                     names=[f.split()[0] for f in _INDEX.split(", ")])
+                for rows in _normalise_file(archive, folder, level):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in _INDEX.split(", ")])
 
     def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "bigint": pa.int64()}
@@ -212,8 +217,9 @@ def normalise(archives: DataFrame, folder: str, level: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).cast(kinds[f.split()[1]]) for i, f in enumerate(_INDEX.split(", "))],
                                              names=[f.split()[0] for f in _INDEX.split(", ")])
 
-    archives = archives.repartition(F.col("archive"))
-    return staged(archives.mapInArrow(typed, _INDEX))
+    files = max(1, scalar(archives.agg(F.count("*")))[0])
+    # By range and with a number: every file is a partition, and adaptive execution leaves them apart, small as the rows are.
+    return staged(archives.repartitionByRange(files, "archive").mapInArrow(typed, _INDEX))
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -252,7 +258,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None, **columns) -> Dat
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     index = normalise(write_archives(plan_records(pages, **columns), f"{folder}/monolithic"), f"{folder}/members")
-    records = read_records(index.repartition("archive", F.floor(F.col("offset") / (16 << 20))))
+    # Tasks are sized by what they read, not by the rows of the index.
+    tasks = max(1, -(-(scalar(index.agg(F.sum("length")))[0] or 0) // _READ_BYTES))
+    records = read_records(index.repartition(tasks, "archive", F.floor(F.col("offset") / _READ_BYTES)))
     whole = F.col("record_type") == RESPONSE
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     page = lambda c: F.when(F.length(number(c)) > 0, number(c).cast("bigint"))

@@ -67,14 +67,12 @@ def test_archives(spark):
 
 
 def brute_top(rows, k, asks):
-    ok = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows
+    ok = [(i, [int(np.floor(64 * float(x))) if abs(x) < 2**50 else 64 * int(x) for x in v]) for i, v in rows
           if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    width = max((len(v) for _, v in ok), default=0)
-    x = np.array([v + [0] * (width - len(v)) for _, v in ok], np.int64).reshape(len(ok), -1)
     out = []
-    for n, (i, _) in enumerate(ok):
+    for n, (i, v) in enumerate(ok):
         if asks(i):
-            best = sorted((-int(s), j) for s, (j, _) in zip(x @ x[n], ok, strict=True) if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for m, (j, w) in enumerate(ok) if m != n)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -83,13 +81,34 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=8) * 0.3)]) for i in range(300)]
     rows += [(300 + i, rows[20][1]) for i in range(60)]  # ties
+    rows += [rows[40], rows[40], (40, rows[41][1]), rows[3]]  # repeated keys: each row asks, and is found
     rows += [(400, None), (420, [None] * 8), (440, [float("nan")] * 8), (460, [float("inf")] * 8), (480, []), (None, rows[0][1]), (500, [0.0] * 8), (520, [0.5])]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score long")
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, block_rows=100, query_rows=5)
-    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 20, lambda i: i % 20 == 0)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, score long, query_row long")
+    for options in ({"block_rows": 100, "query_rows": 5}, {"block_rows": 10}, {}):
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, **options)
+        assert sorted(tuple(r)[:4] for r in got.collect()) == brute_top(rows, 20, lambda i: i % 20 == 0)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e3, 3e6, 1e7, 3e6 * 2.0**20])
+def test_top_k_of_large_components(spark, scale):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * (scale if i % 3 else 1.0)]) for i in range(90)]
+    rows += [(1000, [3.0e6, 0.0]), (1001, [2.0e6, 0.0]), (1002, [2.9e6, 0.0])]
+    rows = [(i, v if scale < 1e9 or i % 20 else [x / 2.0**40 for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, block_rows=30)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == brute_top(rows, 5, lambda i: i % 20 == 0)
+
+
+def test_scores_beyond_doubles():
+    x = np.array([[2.0**70, 1.0, 3.0], [-(2.0**62), 2.0**40 + 1, 5.0], [7.0, 8.0, 9.0]])
+    scores = topk._Scores(x)
+    assert scores.of(np.arange(3), np.array([0.0, 2.0**21 + 1, 1.0])).tolist() == [2**21 + 4, (2**40 + 1) * (2**21 + 1) + 5, 8 * (2**21 + 1) + 9]
+    with pytest.raises(OverflowError):
+        scores.of(np.array([0]), np.array([1.0, 0.0, 0.0]))
+
+
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (i % 40)), ["a", "b", "é", None][i % 4], i) for i in range(400)]
     rows += [(500, None, "empty", 1), (501, "", "empty", 1), (None, "x y z", "a", 1)] + [rows[7]] * 4
@@ -183,3 +202,14 @@ def test_pipeline_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     none.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_task_for_each_archive(spark):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 200) for i in range(72)], "page_id long, url string, html string").repartition(36, "page_id")
+    folder = scratch_path(spark, "warc-tasks")
+    written = warc.write_archives(warc.plan_records(df).repartition(36, "key"), f"{folder}/monolithic", most_bytes=1)
+    files = written.count()
+    assert files > 30
+    index = warc.normalise(written, f"{folder}/members")
+    assert index.count() == 72
+    assert len(index.inputFiles()) == files  # one written by each task
