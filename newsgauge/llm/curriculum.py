@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsgauge.llm.ordering import row_numbers, running_sums, scalar, text_of
+from newsgauge.llm.ordering import fresh, row_numbers, running_sums, scalar, text_of
 from newsgauge.session import staged
 
 WEIGHTS = (3, 1, 2)
@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[i
     weight, until none is above. That is the level at which min(cap, level * weight) sums to the whole; each round is one
     aggregate over the sources, and the driver holds two numbers.
     """
-    per_source = sizes.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
+    per_source = sizes.select(F.col(source).alias("source"), F.col(size).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = staged(row_numbers(per_source, ["source"], "_rank")
                     .select("source", "source_size", (F.col("_rank") % len(weights)).cast("int").alias("place")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("place") + 1)
@@ -80,35 +80,38 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     of a source is empty its target is 0 and nothing of it is taken.
     """
     digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text).cast("binary"))).cast("binary"))
-    narrow = staged(df.select(F.col(key), *keep, F.col(source).alias("_source"), size_in_words(text).alias("size"),
-                              F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("_hash")))
-    targets = source_targets(narrow, "_source", "size", cap=cap, **options)
-    placed = running_sums(narrow, "_source", ["_hash", key, "size"], "size", "_before").join(
-        targets, F.col("_source").eqNullSafe(F.col("source")))
-    half = F.col("_before") + F.col("size") / 2
+    # Names of its own for all that comes along, so that no column of ``df`` meets one that is made here.
+    own = ["key", *(f"keep{i}" for i in range(len(keep)))]
+    narrow = staged(df.select(*(F.col(c).alias(o) for c, o in zip([key, *keep], own, strict=True)), F.col(source).alias("from"),
+                              size_in_words(text).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("hash")))
+    targets = source_targets(narrow, "from", "size", cap=cap, **options)
+    placed = running_sums(narrow, "from", ["hash", "key", "size"], "size", "before").join(
+        targets, F.col("from").eqNullSafe(F.col("source")))
+    half = F.col("before") + F.col("size") / 2
 
     def share(k: Column) -> Column:
         return F.try_divide(k * F.col("source_size") + half, F.col("target"))
 
     passes = F.sequence(F.lit(0), F.lit(int(cap) - 1))
     taken = F.filter(F.transform(passes, share), lambda x: x < 1)
-    out = placed.withColumn("_shares", taken).withColumn("positions", F.transform("_shares", lambda x: time_of(x, F.col("place"))))
-    return out.select(key, *keep, "size", "source_size", "target", "positions")
+    out = placed.withColumn("shares", taken).withColumn("positions", F.transform("shares", lambda x: time_of(x, F.col("place"))))
+    return out.select(*(F.col(o).alias(c) for c, o in zip([key, *keep], own, strict=True)), "size", "source_size", "target", "positions")
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, each as often as it is taken, sorted over the whole table by training position.
+    """The rows of ``df`` with all their columns, each as often as it is taken, sorted over the whole table by training position.
 
     Rows are told apart by their file and their place in it, or, where ``df`` does not come straight from files, by a number
     given to them in a staged copy.
     """
     columns = df.columns
+    file, row, position = fresh(df, "_file", "_row", "_position").values()
     try:
-        rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
         rows.schema  # noqa: B018  resolves the names
     except AnalysisException:
-        rows = staged(df.select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")))
-    copies = (plan(rows, key, text, source, keep=["_file", "_row"], **options)
-              .select("_file", "_row", F.explode("positions").alias("_position")))
-    return (rows.join(copies, ["_file", "_row"]).repartitionByRange("_position").sortWithinPartitions("_position", "_row")
+        rows = staged(df.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row)))
+    copies = (plan(rows, key, text, source, keep=[file, row], **options)
+              .select(F.col(file), F.col(row), F.explode("positions").alias(position)))
+    return (rows.join(copies, [file, row]).repartitionByRange(position, row).sortWithinPartitions(position, row)
             .select(*columns))

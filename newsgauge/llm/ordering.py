@@ -11,49 +11,48 @@ from newsgauge.session import staged
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number in the partition below
 
 
-def in_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``df`` sorted by ``order`` over the whole table, staged, with ``_chunk`` (ascending) and ``_at`` (row number in
-    its chunk, from 0).
+def in_chunks(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, str, str]:
+    """``df`` sorted by ``order`` over the whole table, staged, with two more columns, whose names are returned: the chunk
+    (ascending) and the row number in its chunk, from 0.
 
     A chunk is one range partition. Ties are dealt out by their place in the input, so that a value held by a third of
     all rows fills many chunks; rows that tie are in no defined order.
     """
+    tie, number, chunk, at = fresh(df, "_tie", "_id", "_chunk", "_at").values()
     key = [F.col(c).asc_nulls_last() for c in order]
-    spread = df.withColumn("_tie", F.monotonically_increasing_id())
-    sorted_ = spread.repartitionByRange(*key, F.col("_tie")).sortWithinPartitions(*key, "_tie")
-    numbered = sorted_.withColumn("_id", F.monotonically_increasing_id())
-    return staged(numbered.select(*df.columns, F.shiftright("_id", _ROW_BITS).alias("_chunk"),
-                                  F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_at")))
+    spread = df.withColumn(tie, F.monotonically_increasing_id())
+    sorted_ = spread.repartitionByRange(*key, F.col(tie)).sortWithinPartitions(*key, tie)
+    numbered = sorted_.withColumn(number, F.monotonically_increasing_id())
+    return staged(numbered.select(*df.columns, F.shiftright(number, _ROW_BITS).alias(chunk),
+                                  F.col(number).bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias(at))), chunk, at
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], number: str) -> DataFrame:
-    """``df`` with its gapless row number from 0 in the order of ``order``. What is summed up in one task is one row per
-    chunk."""
-    chunks = in_chunks(df, order)
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (chunks.groupBy("_chunk").agg(F.count("*").alias("_n"))
-              .select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    return (chunks.join(starts, "_chunk").withColumn(number, F.col("_start") + F.col("_at"))
-            .select(*df.columns, number))
+    """``df`` with its gapless row number from 0 in the order of ``order``, as a new column. What is summed up in one task is one
+    row per chunk."""
+    chunks, chunk, at = in_chunks(df, order)
+    rows, start = fresh(chunks, "_n", "_start").values()
+    before = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (chunks.groupBy(chunk).agg(F.count("*").alias(rows))
+              .select(chunk, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(start)))
+    return chunks.join(starts, chunk).select(*df.columns, (F.col(start) + F.col(at)).alias(number))
 
 
 def running_sums(df: DataFrame, group: str, order: Sequence[str], value: str, before: str) -> DataFrame:
-    """``df`` with ``before``, the sum of ``value`` over the rows of its group that precede it in ``order``.
+    """``df`` with ``before``, the sum of ``value`` over the rows of its group that precede it in ``order``, as a new column.
 
     ``group`` may be null (a group of its own). A group of any size is summed chunk by chunk; only one total per chunk
     and group meets in one task.
     """
-    chunks = in_chunks(df, [group, *order])
-    key = [F.col(group).isNull().alias("_null"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_key")]
-    chunks = chunks.select("*", *key)
-    inner = (Window.partitionBy("_chunk", "_null", "_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    across = Window.partitionBy("_null", "_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (chunks.groupBy("_null", "_key", "_chunk").agg(F.sum(value).alias("_total"))
-              .select("_null", "_key", "_chunk", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset")))
-    return (chunks.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-            .join(totals, ["_chunk", "_null", "_key"])
-            .withColumn(before, F.col("_offset") + F.col("_inner"))
-            .select(*df.columns, before))
+    chunks, chunk, at = in_chunks(df, [group, *order])
+    null, key, inner, total, offset = fresh(chunks, "_null", "_key", "_inner", "_total", "_offset").values()
+    chunks = chunks.select("*", F.col(group).isNull().alias(null), F.coalesce(F.col(group).cast("string"), F.lit("")).alias(key))
+    within = Window.partitionBy(chunk, null, key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(null, key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (chunks.groupBy(null, key, chunk).agg(F.sum(value).alias(total))
+              .select(null, key, chunk, F.coalesce(F.sum(total).over(across), F.lit(0)).alias(offset)))
+    return (chunks.withColumn(inner, F.coalesce(F.sum(value).over(within), F.lit(0))).join(totals, [chunk, null, key])
+            .select(*df.columns, (F.col(offset) + F.col(inner)).alias(before)))
 
 
 def scalar(df: DataFrame) -> tuple:

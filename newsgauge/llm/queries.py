@@ -74,7 +74,7 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = curriculum.plan(table(spark, sf_dir, "documents"))
     return (made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"),
                         F.round(F.array_min("positions"), 9).alias("position"))
-            .orderBy(F.col("position").asc_nulls_last()))
+            .orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc_id")))
 
 
 ORACLES["op10_curriculum"] = """

@@ -55,7 +55,7 @@ class Permutation:
 
 
 def shard(df: DataFrame, order: Sequence[str], shards: int = 40, seed: int = 1) -> DataFrame:
-    """``df`` with int ``shard`` and long ``slot``.
+    """``df`` with int ``shard`` and long ``slot``; columns of these two names are replaced, all others stay.
 
     Shard sizes differ by one row at most and slots have no gap, whatever keys the rows hold; nulls sort last. Rows alike in
     all ``order`` columns are interchangeable: which of them takes which place is not defined, all else is the same in

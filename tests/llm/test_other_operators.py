@@ -213,3 +213,26 @@ def test_a_task_for_each_archive(spark):
     index = warc.normalise(written, f"{folder}/members")
     assert index.count() == 72
     assert len(index.inputFiles()) == files  # one written by each task
+
+
+NAMES = ("_tie _id _chunk _at _n _start _null _key _inner _total _offset _file _row _position _place _conv _turn _one _source _hash _before "
+         "key keep0 hash from before shares size place source_size target positions conv turn_ row level n _TIE _Chunk").split()
+
+
+def test_columns_of_any_name_stay(spark):
+    kept = [c for c in NAMES if c.lower() not in {x.lower() for x in NAMES[:NAMES.index(c)]}]
+    base = spark.range(60).selectExpr("id AS doc_id", "id % 7 AS conv_id", "id div 7 AS turn", "'user' AS role",
+                                      "concat('word ', id % 5, '\n> quoted') AS text", "concat('s', id % 3) AS source",
+                                      *[f"concat('{c}', id) AS `{c}`" for c in kept if c != "source"])
+    kept = [c for c in kept if c != "source"]
+
+    def check(got, key="doc_id"):
+        assert all(r[c] == f"{c}{r[key]}" for r in got.select(key, *kept).collect() for c in kept)
+
+    check(shuffle.shard(base, ["doc_id", "text"], 7))
+    check(quotes.conversations(base))
+    check(curriculum.mix(base))
+    assert curriculum.mix(base).columns == base.columns
+    path = scratch_path(spark, "clash")
+    base.write.parquet(path)
+    check(curriculum.mix(spark.read.parquet(path)))
