@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from newsgauge.llm import bytewords
@@ -81,8 +81,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         clusters: int = 4, most_languages: int = 1000, spread: float = 6.0, seed: int = 1) -> Model:
     """The model of ``labelled``. Rows without text or language are not used.
 
-    Document frequencies are counted over all usable rows. The sample for the centroids is bounded: some ``per_language`` texts of each of the ``most_languages`` most frequent languages, chosen by
-    a hash of ``key`` and text, whole texts each. The model holds at most ``most_languages * clusters`` centroids of
+    Document frequencies are counted over all usable rows. The sample for the centroids is bounded: some ``per_language``
+    different texts (at most twice as many) of each of the ``most_languages`` most frequent languages, chosen by a hash of
+    ``key`` and text, whole texts each; repeated rows count once there. The model holds at most ``most_languages * clusters`` centroids of
     16 KB. Without a usable row the model is empty.
 
     The bounds of rejection are taken from all usable rows of these languages, whole texts and for short lengths a head of
@@ -98,8 +99,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not sizes:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), np.zeros((0, _MAX_BUCKET + 1)))
     share = F.create_map(*[F.lit(x) for pair in ((k, min(1.0, per_language / n)) for k, n in sizes.items()) for x in pair])
+    # Copies share a hash: one of them is taken, and of what is left no more than the bound, in the order of the hash.
+    first = Window.partitionBy("lang").orderBy("pick")
     sample = staged(usable.where(F.pmod("pick", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
-                    .select("text", "lang", "pick"))
+                    .dropDuplicates(["lang", "pick"]).withColumn("place", F.row_number().over(first))
+                    .where(F.col("place") <= 2 * per_language).select("text", "lang", "pick"))
 
     def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(DIMENSIONS, np.int64), 0

@@ -25,6 +25,8 @@ _STEP = _U(0x9E3779B97F4A7C15)
 _LOW = _U((1 << 40) - 1)
 #: Bands of up to so many documents are compared by joins, larger ones in blocks.
 _SMALL_BAND = 32
+#: Tasks that the documents of one set are dealt to.
+_SALT_PARTS = 16
 _SALTS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
 
 
@@ -186,7 +188,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     known = all_.where(F.col("id").isNotNull() & (F.col("n") > 0))
 
     copies = known.groupBy("a", "b", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    same = staged(known.select("id", "a", "b", "n").join(copies, ["a", "b", "n"]).where("id > first")
+    # A set that very many documents have is dealt to several tasks.
+    spread = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT_PARTS - 1))))
+    same = staged(known.select("id", "a", "b", "n", F.pmod(F.xxhash64("id"), F.lit(_SALT_PARTS)).cast("int").alias("salt"))
+                  .join(spread, ["a", "b", "n", "salt"]).where("id > first")
                   .select(F.col("first").alias("u"), F.col("id").alias("v"), "a", "b", "n").distinct())
     one = ["id", "a", "b", "n"]  # a text of an id: its others stay when it goes
     single = known.join(same.select(F.col("v").alias("id"), "a", "b", "n"), one, "left_anti").dropDuplicates(one)
@@ -202,7 +207,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     stars = staged(members.where((F.col("id") > F.col("lead.id")) & close(F.col("n"), F.col("lead.n")))
                    .groupBy(F.col("lead.id").alias("u"), F.col("id").alias("v")).agg(F.count("*").alias("shared")))
     wanted = members.select("id").distinct()
-    sets = staged(_sets(docs.join(wanted, "id", "left_semi"), words))
+    # Of the rows of a repeated id one for each different text: what is verified is sets, not copies of them.
+    again = staged(known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    asked = docs.join(wanted, "id", "left_semi")
+    sets = staged(_sets(asked.join(again, "id", "left_anti").unionByName(asked.join(again, "id", "left_semi").dropDuplicates(["id", "text"])), words))
 
     # The likeliest pair of each document first: most others then lie within a component and need no check.
     first = stars.groupBy("v").agg(F.max(F.struct("shared", -F.col("u"))).alias("best")).select((-F.col("best.col2")).alias("u"), "v")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from newsgauge.llm import bpe, bytewords, cotrain, divergence, langid, minhash, packing
 from newsgauge.llm.queries import vocabulary
-from newsgauge.session import staged
+from newsgauge.session import scratch_path, staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _m string, quality string"
@@ -305,3 +305,69 @@ def test_repeated_ids_with_different_texts(spark):
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
     assert sorted(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted({(1, a), (4, c), (4, b[:200])})
+
+
+def test_repeated_rows_are_not_compared_with_each_other(spark):
+    a, b = prose("aa", 200), None
+    b = a + " zz"
+    rows = [(1, a)] * 3000 + [(2, b)] * 3000 + [(3, prose("bb", 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = {}
+    verified = minhash._verified
+
+    def counted(pairs, sets, percent):
+        joined = pairs.join(sets.select(F.col("id").alias("u")), "u").join(sets.select(F.col("id").alias("v")), "v")
+        seen["rows"] = seen.get("rows", 0) + joined.count()
+        return verified(pairs, sets, percent)
+
+    minhash._verified = counted
+    try:
+        got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    finally:
+        minhash._verified = verified
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True)} and seen["rows"] <= 2
+
+
+def test_samples_are_bounded_when_rows_repeat(spark, monkeypatch):
+    sizes = []
+    means = langid._spherical_means
+    text = prose("aa", 60)
+    rows = [(1, text, "aa")] * 4000 + [(i, prose("aa", 60), "aa") for i in range(10, 60)] + [(i, prose("bb", 60), "bb") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    usable = df.select("text", "lang", F.xxhash64("doc_id", "text", F.lit(1)).alias("pick"))
+    assert usable.select("pick").distinct().count() == 351
+    folder = scratch_path(spark, "sizes")
+
+    def noted(x, k, rounds=10, folder=folder.removeprefix("file:")):
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        open(f"{folder}/{uuid.uuid4().hex}-{len(x)}", "w").close()
+        return means(x, k, rounds)
+
+    monkeypatch.setattr(langid, "_spherical_means", noted)
+    model = langid.fit(df, per_language=20)
+    import os
+
+    sizes = [int(x.split("-")[1]) for x in os.listdir(folder.removeprefix("file:"))]
+    assert set(model.languages) <= {"aa", "bb"} and sizes and max(sizes) <= 40
+
+
+def test_a_labelled_key_gives_one_row(spark):
+    good, bad = prose("aa", 80), " ".join(f"{w.upper()}!!" for w in prose("aa", 80).split())
+    rows = [(1, good, "aa", "s", 5, "m", "q")] * 3000 + [(i, good + f" x{i}", "aa", "s", 5, "m", "q") for i in range(2, 60)]
+    rows += [(i, bad + f" x{i}", "aa", "t", 5, "m", "q") for i in range(100, 160)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 60)] + [(i, 0) for i in range(100, 160)], "doc_id long, quality int")
+    taken = []
+    staged_ = cotrain.staged
+    cotrain.staged = lambda x: taken.append(staged_(x)) or taken[-1]
+    counts = []
+    drop = cotrain.drop_staged
+    cotrain.drop_staged = lambda *x: (counts.extend(y.count() for y in x), drop(*x))
+    try:
+        cotrain.fit(df, labels)
+    finally:
+        cotrain.staged, cotrain.drop_staged = staged_, drop
+    assert max(counts) <= 119
