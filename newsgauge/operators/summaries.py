@@ -178,6 +178,11 @@ def anomalies(df: DataFrame, days: int = 7, z: float = 2.0) -> DataFrame:
     Rows are reduced to days first, so the window sees one row per day however many records a ticker has.
     """
     daily = df.groupBy("ticker", F.to_date("ts").alias("day")).agg(exact_mean(SCORE).alias("mean_score"))
+    return anomaly_flags(daily, days, z)
+
+
+def anomaly_flags(daily: DataFrame, days: int = 7, z: float = 2.0) -> DataFrame:
+    """The rows (ticker, day, mean_score) of :func:`anomalies` with its other columns."""
     before = (Window.partitionBy("ticker").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date")))
               .rangeBetween(-days, -1))
     out = daily.withColumns({"base_mean": F.avg("mean_score").over(before),

@@ -7,7 +7,8 @@ from newsgauge.plans.q_scoring import NEGATIVE, POSITIVE, lexicon_sql
 from newsgauge.plans.q_summaries import mean
 from newsgauge.plans.registry import query
 from newsgauge.plans.views import op_log_of, sentiment_of
-from newsgauge.streaming import jobs
+from newsgauge.session import scratch_path
+from newsgauge.streaming import jobs, stateful
 
 _FLAT = ("id", "ticker", "ts", "source", "sentiment_score")
 _COLS = ", ".join(_FLAT)
@@ -55,6 +56,47 @@ def stream_rate_limits(t):
     return jobs.run_updates(jobs.rate_windows(requests, 2, "6 hours"), "rates", ["client", "endpoint", "bin", "reset"])
 
 
+@query("stream_rate_limits_sliding", "op_log", """
+SELECT op_id, client, query_type AS endpoint, ts, n AS request_count, n >= 3 AS limited, greatest(0, 3 - n) AS remaining
+FROM (SELECT *, count(*) OVER (PARTITION BY client, query_type ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS n FROM op_log)""")
+def stream_rate_limits_sliding(t):
+    """The same rows as the batch query rate_limit_flags."""
+    requests = op_log_of(stream_of(t, "events")).withColumnRenamed("query_type", "endpoint")
+    counts = jobs.run_updates(stateful.sliding_counts(requests, 86400), "sliding", ["op_id"])
+    return counts.withColumns({"limited": F.col("request_count") >= 3, "remaining": F.greatest(F.lit(0), 3 - F.col("request_count"))})
+
+
+@query("stream_sentiment_anomaly", "sentiment", f"""
+WITH daily AS (SELECT ticker, CAST(ts AS DATE) AS day, avg(sentiment_score) AS mean_score FROM sentiment GROUP BY ALL),
+w AS (SELECT *, avg(mean_score) OVER p AS m, stddev_samp(mean_score) OVER p AS s FROM daily
+  WINDOW p AS (PARTITION BY ticker ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT ticker, day, round(mean_score, 9) AS mean_score, round(m, 9) AS base_mean, round(s, 9) AS base_std,
+  coalesce(s > 0 AND abs(mean_score - m) > 2 * s, false) AS anomaly FROM w""")
+def stream_sentiment_anomaly(t):
+    """The rows of the batch query sentiment_anomaly, from moments per ticker and day."""
+    moments = stateful.DailyMoments(t.spark)
+    jobs.run_batches(sentiment_of(stream_of(t, "events")).select(*_FLAT), "moments", moments.update)
+    moments.compact()
+    return moments.anomalies().withColumns({c: F.round(c, 9) for c in ("mean_score", "base_mean", "base_std")})
+
+
+@query("stream_late_rows", "", """
+WITH m AS (SELECT max(ts) AS last FROM events),
+late AS (SELECT ts FROM events, m WHERE ts < last - INTERVAL 2 DAYS OR event_id % 10 = 0),
+mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS edge FROM events, m WHERE ts >= last - INTERVAL 2 DAYS AND event_id % 10 <> 0)
+SELECT count(*) AS input_rows, count(*) FILTER (ts < edge) AS dropped_by_watermark FROM late, mark""")
+def stream_late_rows(t):
+    """What arrives in a second run, behind the watermark of the first: counted, not lost from sight."""
+    folder, checkpoint, path, seen = (scratch_path(t.spark, x) for x in ("arrivals", "arrivals-checkpoint", "arrivals-out", "arrivals-progress"))
+    last = t.events.agg(F.max("ts") - F.expr("interval 2 days")).scalar()
+    late = (F.col("ts") < last) | (F.col("event_id") % 10 == 0)
+    for part, progress in ((~late, None), (late, seen)):
+        t.events.where(part).select("event_id", "ts").write.mode("append").parquet(folder)
+        stream = jobs.file_stream(t.spark, folder, t.events.select("event_id", "ts").schema)
+        jobs.run_append(jobs.dedup_ingest(stream, ["event_id"]), "arrivals", path, checkpoint, progress)
+    return jobs.progress_rows(t.spark, seen).agg(F.sum("input_rows").alias("input_rows"), F.sum("dropped_by_watermark").alias("dropped_by_watermark"))
+
+
 @query("stream_latest_24h", "sentiment", f"""
 SELECT {_COLS} FROM sentiment WHERE ts >= (SELECT max(ts) - INTERVAL 24 HOURS FROM events) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) <= 2""")
 def stream_latest_24h(t):

@@ -84,18 +84,50 @@ def score_stream(stream: DataFrame, text: str, *words: list[str]) -> DataFrame:
     return lexicon_score(stream, text, *words)
 
 
-def run_append(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+_PROGRESS = ("run_id STRING, batch_id BIGINT, input_rows BIGINT, dropped_by_watermark BIGINT, watermark STRING, "
+             "state_rows BIGINT, observed MAP<STRING, STRING>")
+
+
+def finish(query, progress: str | None = None) -> None:
+    """Waits for a query to take all that is available. With ``progress``, a folder, one row per micro-batch is kept there
+    (:func:`progress_rows`): rows read, rows that came behind the watermark and were dropped, and what ``observe`` counted."""
+    if progress is None:
+        query.awaitTermination()
+        return
+    seen: dict[int, tuple] = {}
+
+    def take() -> None:
+        for p in query.recentProgress:
+            ops = p.stateOperators
+            observed = {f"{name}.{k}": str(v) for name, row in (p.observedMetrics or {}).items() for k, v in row.asDict().items()}
+            seen[p.batchId] = (str(p.runId), p.batchId, p.numInputRows, sum(o.numRowsDroppedByWatermark for o in ops),
+                               (p.eventTime or {}).get("watermark"), sum(o.numRowsTotal for o in ops), observed)
+
+    while not query.awaitTermination(1):  # Spark keeps the last hundred batches only
+        take()
+    take()
+    if seen:
+        SparkSession.getActiveSession().createDataFrame(list(seen.values()), _PROGRESS).coalesce(1).write.mode("append").parquet(progress)
+
+
+def progress_rows(spark: SparkSession, progress: str) -> DataFrame:
+    """One row for each micro-batch that :func:`finish` kept in a folder, over all runs."""
+    return spark.read.schema(_PROGRESS).parquet(progress)
+
+
+def run_append(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None, progress: str | None = None) -> DataFrame:
     """Appends all available rows to a Parquet folder, exactly once, and returns the folder's table."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, label)
     checkpoint = checkpoint or scratch_path(spark, f"{label}-checkpoint")
     query = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+    finish(query, progress)
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_updates(stream: DataFrame, label: str, key: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def run_updates(stream: DataFrame, label: str, key: list[str], path: str | None = None, checkpoint: str | None = None,
+                progress: str | None = None) -> DataFrame:
     """The newest state of every ``key`` of an aggregated stream, windows that are still open included.
 
     Every batch writes the rows it changed to a folder of its own; the newest row per key counts. Conditions on an
@@ -107,7 +139,7 @@ def run_updates(stream: DataFrame, label: str, key: list[str], path: str | None
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(os.path.join(path, "batch=-1"))  # a run without data
     query = (stream.writeStream.outputMode("update").foreachBatch(batch_writer(path))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+    finish(query, progress)
     rest = F.struct(*[c for c in stream.columns if c not in key])
     written = spark.read.schema(f"{_ddl(stream)}, `batch` BIGINT").parquet(path)
     return written.groupBy(*key).agg(F.max_by(rest, "batch").alias("_newest")).select(*key, "_newest.*")
@@ -139,11 +171,13 @@ def run_copy(stream: DataFrame, label: str, path: str | None = None, checkpoint:
 
 
 def run_dual_write(stream: DataFrame, label: str, secondary: Callable[[DataFrame, int], None] | None = None,
-                   on_failure: Callable[[int, Exception], None] | None = None) -> tuple[str, str]:
+                   on_failure: Callable[[int, Exception], None] | None = None, paths: tuple[str, str] | None = None,
+                   checkpoint: str | None = None) -> tuple[str, str]:
     """Every batch to two folders. The primary must succeed; a failure of the secondary goes to ``on_failure``, without it
-    to the table of :func:`dual_write_failures`, and is left for reconciliation. Returns both paths."""
+    to the table of :func:`dual_write_failures`, and is left for reconciliation. Returns both paths. With ``paths`` and
+    ``checkpoint`` of an earlier run it goes on where that one ended."""
     spark = stream.sparkSession
-    first, second = scratch_path(spark, f"{label}-primary"), scratch_path(spark, f"{label}-secondary")
+    first, second = paths or (scratch_path(spark, f"{label}-primary"), scratch_path(spark, f"{label}-secondary"))
     primary, secondary = batch_writer(first), secondary or batch_writer(second)
     failures = batch_writer(f"{first}-failures")
     failures(spark.createDataFrame([], _FAILURE), -1)
@@ -158,7 +192,7 @@ def run_dual_write(stream: DataFrame, label: str, secondary: Callable[[DataFrame
         except Exception as error:
             (on_failure or record)(batch_id, error)
 
-    run_batches(stream, label, both)
+    run_batches(stream, label, both, checkpoint)
     return first, second
 
 
@@ -197,8 +231,8 @@ def run_split(stream: DataFrame, label: str, routes: dict[str, Column]) -> dict[
     return {"path": base}
 
 
-def _newest_state(spark: SparkSession, path: str, prefix: str) -> int | None:
-    """The number of the newest finished state table ``<prefix>-<number>`` in ``path``, None if there is none."""
+def newest_number(spark: SparkSession, path: str, prefix: str) -> int | None:
+    """The number of the newest finished table ``<prefix>-<number>`` in ``path``, None if there is none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(folder):
@@ -238,7 +272,7 @@ class LatestByTicker:
 
     def current(self) -> DataFrame:
         """The newest finished state, also one that an earlier run left in ``path``."""
-        self.last = _newest_state(self.spark, self.path, "state") if self.last is None else self.last
+        self.last = newest_number(self.spark, self.path, "state") if self.last is None else self.last
         if self.last is None:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._state(self.last))
@@ -275,7 +309,7 @@ class RetryQueue:
 
     def current(self) -> DataFrame:
         """The newest finished queue, also one that an earlier run left in ``path``; empty before :meth:`start`."""
-        self.last = _newest_state(self.spark, self.path, "queue") if self.last is None else self.last
+        self.last = newest_number(self.spark, self.path, "queue") if self.last is None else self.last
         if self.last is None:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self._state(self.last))
