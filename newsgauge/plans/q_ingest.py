@@ -342,6 +342,46 @@ def as_of_state(t):
     return W.as_of_state(log, "2024-01-18 00:00:00").drop("op")
 
 
+_TIMES = ("2024-01-04 12:34:56", "2024-01-10 00:00:00", "2024-01-18 00:00:00", "2024-01-21 23:59:59.5")
+
+
+@query("restore_chain", "", " UNION ALL ".join(f"""
+SELECT TIMESTAMP '{at}' AS as_of, user_id AS key, event_id AS seq, ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts <= TIMESTAMP '{at}') WHERE rn = 1 AND event_type <> 'error'"""
+                                             for at in _TIMES))
+def restore_chain(t):
+    """States at several times from bases and deltas, each restore reading only the folders it needs."""
+    from newsgauge.operators.snapshots import SnapshotChain
+    log = t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", "value",
+                          F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+    chain = SnapshotChain(t.spark, scratch_path(t.spark, "chain"), "key bigint, seq bigint, ts timestamp_ntz, value double, op string")
+    for day in (5, 10, 15, 20, 25):
+        chain.delta(log, f"2024-01-{day:02d} 00:00:00")
+        if day in (10, 20):
+            chain.base()
+    states = [chain.restore(at).select(P.ntz(at).alias("as_of"), "key", "seq", "ts", "value") for at in _TIMES]
+    out = states[0]
+    for state in states[1:]:
+        out = out.unionByName(state)
+    return out
+
+
+@query("table_in_place", "sentiment", f"""
+SELECT id, ticker, ts, source, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-12' AND id % 3 = 0 THEN 0.5::DOUBLE ELSE sentiment_score END AS sentiment_score
+FROM sentiment WHERE NOT (CAST(ts AS DATE) = DATE '2024-01-15' AND sentiment_score < 0) AND NOT (CAST(ts AS DATE) = DATE '2024-01-20' AND id % 7 = 0)""")
+def table_in_place(t):
+    """A day updated by id, a day thinned by condition, a day by ids, in a stored table partitioned by day."""
+    from newsgauge.sources.inplace import VersionedTable
+    rows = t.sentiment.select(*_FLAT)
+    table = VersionedTable(t.spark, scratch_path(t.spark, "inplace"), rows.schema, "to_date(ts)")
+    table.create(rows)
+    day = lambda d: F.to_date("ts") == F.lit(d).cast("date")
+    table.update_ids(rows.where(day("2024-01-12") & (F.col("id") % 3 == 0)).withColumn("sentiment_score", F.lit(0.5)))
+    table.delete_where(day("2024-01-15") & (F.col("sentiment_score") < 0))
+    table.delete_ids(rows.where(day("2024-01-20") & (F.col("id") % 7 == 0)))
+    return table.read()
+
+
 @query("nearest_snapshot", "", "SELECT event_id AS snapshot_id, ts FROM events WHERE event_type = 'signup' AND ts <= TIMESTAMP '2024-01-18' ORDER BY ts DESC, event_id DESC LIMIT 1")
 def nearest_snapshot(t):
     snapshots = t.events.where(F.col("event_type") == "signup").select(F.col("event_id").alias("snapshot_id"), "ts")

@@ -126,6 +126,32 @@ def tag_index(t):
     return M.tag_index(t.item)
 
 
+@query("tag_index_upkeep", "item", """
+WITH now AS (SELECT id, CASE WHEN num % 5 = 1 THEN list_concat(tags, ['audited']) WHEN num % 5 = 2 THEN list_filter(tags, lambda x: x <> 'PROMO') ELSE tags END AS tags,
+    CASE WHEN num % 5 = 1 THEN 'Result' ELSE category END AS category, epic_id, task_id FROM item WHERE num % 11 <> 3
+  UNION ALL SELECT id || '-new', ['fresh'], category, epic_id, task_id FROM item WHERE num % 13 = 0)
+SELECT 'tag' AS kind, unnest(tags) AS value, id AS item_id FROM now UNION ALL SELECT 'category', category, id FROM now
+  UNION ALL SELECT 'epic', epic_id, id FROM now UNION ALL SELECT 'task', task_id, id FROM now""")
+def tag_index_upkeep(t):
+    """An index built once, then taken on by three batches of changes and compacted in between: the same as a rebuild."""
+    from newsgauge.operators.postings import PostingIndex
+    from newsgauge.session import scratch_path, staged
+    items = staged(t.item.select("id", "num", "tags", "category", "epic_id", "task_id"))
+    none = items.select("id").limit(0)
+    i = F.col("num")
+    tagged = items.where(i % 5 == 1).withColumns({"tags": F.concat("tags", F.array(F.lit("audited"))), "category": F.lit("Result")})
+    untagged = items.where(i % 5 == 2).withColumn("tags", F.array_remove("tags", "PROMO"))
+    new = items.where(i % 13 == 0).withColumns({"id": F.concat("id", F.lit("-new")), "tags": F.array(F.lit("fresh"))})
+    index = PostingIndex(t.spark, scratch_path(t.spark, "postings"))
+    index.build(items)
+    index.update(items, tagged, none)
+    index.compact()
+    index.update(items, untagged.unionByName(new), none)
+    now = items.where(~(i % 5).isin(1, 2)).unionByName(tagged).unionByName(untagged)
+    index.update(now, items.limit(0), items.where(i % 11 == 3).select("id"))
+    return index.postings()
+
+
 @query("tag_counts", "item", _POSTINGS + "SELECT value, count(*) AS n FROM postings WHERE kind = 'tag' GROUP BY value")
 def tag_counts(t):
     return M.value_counts(M.tag_index(t.item), "tag")
