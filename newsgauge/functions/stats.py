@@ -6,17 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsgauge.session import staged
+
 
 def _col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
 def exact_sum(column: str | Column) -> Column:
-    """Sum of doubles, in DECIMAL with 18 decimals where all values are below 1e10 in size (addition order then cannot change
-    the last digits), else in doubles."""
+    """Sum of doubles in two parts: each value to 12 decimals as DECIMAL, which adds up exactly in any order, and what is left
+    of it as a double. So values of 12 decimals give one answer whatever the partitioning, and no digit of others is
+    lost; values of 1e12 and more are summed as doubles."""
     value = _col(column).cast("double")
-    small = F.coalesce(F.max(F.abs(value)) < 1e10, F.lit(False))  # a NaN is larger than any number
-    return F.when(small, F.sum(value.try_cast("decimal(28,18)")).cast("double")).otherwise(F.sum(value))
+    whole = F.when(F.abs(value) < 1e12, value.try_cast("decimal(24,12)"))
+    rest = value - F.coalesce(whole.cast("double"), F.lit(0.0))
+    return F.sum(rest) + F.coalesce(F.sum(whole).cast("double"), F.lit(0.0))
 
 
 def exact_mean(column: str | Column) -> Column:
@@ -121,6 +125,44 @@ def number_in_chunks(df: DataFrame, key: Sequence[str], chunk: Column, order: Se
             .drop("_chunk", "_before", "_next"))
 
 
+def _composed(df: DataFrame, by: Sequence[str], order: str, rows: int) -> DataFrame:
+    """Each row's map x -> _m * x + _b composed with those of all rows before it in its group of at most ``rows`` rows: in steps
+    that double, a row takes up the map of the row 1, 2, 4, ... before it."""
+    before = Window.partitionBy(*by).orderBy(order)
+    step = 1
+    while step < rows:
+        m, b = F.lag("_m", step, 1.0).over(before), F.lag("_b", step, 0.0).over(before)
+        df = df.withColumns({"_pm": m, "_pb": b}).withColumns({"_b": F.col("_m") * F.col("_pb") + F.col("_b"), "_m": F.col("_m") * F.col("_pm")})
+        step *= 2
+    return df.drop("_pm", "_pb")
+
+
+def affine_scan(df: DataFrame, key: str, order: Sequence[str], start: str, slope: Column, shift: Column,
+                into: str, chunk_bits: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Per key x := slope * x + shift, row after row in ``order``, from the value of ``start`` in the key's first row.
+
+    Returns ``df`` with x after each row as ``into``, and (key, ``into``) with x after the last one. A row is a map, and maps
+    compose, so that a key of any size is worked on in chunks of 2**chunk_bits rows; one map per chunk meets in one task. A
+    null key is one too.
+    """
+    rows = staged(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_id", F.monotonically_increasing_id()))
+    chunked = rows.withColumns({"_at": F.struct(F.col(key), F.shiftright("_id", chunk_bits).alias("chunk")), "_m": slope.cast("double"), "_b": shift.cast("double")})
+    inner = _composed(chunked, ["_at"], "_id", 1 << chunk_bits)
+    whole = inner.groupBy("_at").agg(F.max_by(F.struct("_m", "_b"), "_id").alias("_map"), F.min_by(F.col(start).cast("double"), "_id").alias("_first"),
+                                     F.min("_id").alias("_from"))
+    chunks = staged(whole.select("_at", F.col("_at")[key].alias("_key"), "_map.*", "_first", "_from"))
+    most = chunks.groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    upto = _composed(chunks.withColumn("_of", F.struct("_key")), ["_of"], "_from", rows.sparkSession.range(1).select(F.coalesce(most, F.lit(1))).first()[0])
+    of_key = Window.partitionBy("_of").orderBy("_from")
+    first = F.first("_first").over(of_key.rowsBetween(Window.unboundedPreceding, 0))
+    after = upto.withColumn("_x", F.col("_m") * first + F.col("_b"))
+    begun = after.select("_at", F.coalesce(F.lag("_x").over(of_key), F.col("_first")).alias("_begin"))
+    each = (inner.join(begun, "_at").withColumn(into, F.col("_m") * F.col("_begin") + F.col("_b"))
+            .drop("_id", "_at", "_m", "_b", "_begin"))
+    last = after.groupBy("_of").agg(F.max_by("_x", "_from").alias(into)).select(F.col("_of._key").alias(key), into)
+    return each, last
+
+
 def ranks_between(df: DataFrame, column: str, low: Column | int, high: Column | int) -> DataFrame:
     """Rows whose 0-based position in the order of the numeric, unique ``column`` lies in [low, high).
 

@@ -54,14 +54,13 @@ def decay(depth: int) -> float:
     return 100.0 * 0.7 ** (depth * (depth - 1) // 2) / 100.0 ** depth
 
 
-def _number(max_depth: int) -> str:
-    """Type that holds products of scores, and their sums, without rounding."""
-    return "bigint" if max_depth <= 4 else "decimal(38,0)"
+#: Holds products of up to nine scores, and their sums, without rounding.
+_NUMBER = "decimal(38,0)"
 
 
 def _hops(edges: DataFrame, max_depth: int) -> DataFrame:
     return edges.select(F.col("source_id").alias("_from"), F.col("target_id").alias("_to"),
-                        F.col("impact_score").cast(_number(max_depth)).alias("_w"))
+                        F.col("impact_score").cast(_NUMBER).alias("_w"))
 
 
 def _simple_paths(hop: DataFrame, seeds: DataFrame, max_depth: int, min_impact: float = 0.0) -> list[DataFrame]:
@@ -81,7 +80,7 @@ def _simple_paths(hop: DataFrame, seeds: DataFrame, max_depth: int, min_impact:
         paths = (paths.join(hop, F.col("end_id") == F.col("_from"))
                  .where(~F.array_contains("path", F.col("_to")))
                  .select("source_id", F.col("_to").alias("end_id"), F.concat("path", F.array("_to")).alias("path"),
-                         (F.col("product") * F.col("_w")).cast(_number(max_depth)).alias("product")))
+                         (F.col("product") * F.col("_w")).cast(_NUMBER).alias("product")))
         levels.append(paths)
     return levels
 
@@ -109,7 +108,7 @@ def propagation_total(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) ->
     """
     hop = staged(_hops(edges, max_depth))
     levels = _simple_paths(hop, seeds, max_depth - 1) if max_depth > 1 else []
-    exact = _number(max_depth)
+    exact = _NUMBER
     if levels:
         levels[-1] = staged(levels[-1])
     sums = []

@@ -236,6 +236,14 @@ def tag_matrix(items: DataFrame, tags: Sequence[str]) -> DataFrame:
     return items.select("id", *[F.array_contains("tags", t).alias(f"has_{t.lower()}") for t in tags])
 
 
+def tag_membership(items: DataFrame, group: str) -> DataFrame:
+    """(group, id, tag, has): the items of each group of compared records against all tags that any of them holds. Tags are made
+    distinct per group first, so that a group costs its items times its tags, which is what is asked for."""
+    own = F.coalesce("tags", F.array().cast("array<string>"))
+    tags = items.select(group, F.explode(own).alias("tag")).distinct()
+    return items.select(group, "id", own.alias("_own")).join(tags, group).select(group, "id", "tag", F.array_contains("_own", F.col("tag")).alias("has"))
+
+
 def field_same(records: DataFrame, group: str, fields: Sequence[str]) -> DataFrame:
     """Per group of compared records and field: number of distinct values, and whether all are the same."""
     long = records.select(group, F.explode(F.array(*[

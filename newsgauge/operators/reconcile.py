@@ -172,22 +172,27 @@ def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = True)
     Exact distinct counts shuffle every distinct value of every column; on very wide or very large tables pass
     ``exact_distinct=False`` for sketches that merge in one pass.
     """
-    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
-
-    aggs = []
-    for c in columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls"), distinct(F.col(c)).alias(f"{c}_distinct"),
-                 F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    one = df.agg(F.count("*").alias("_rows"), *aggs)
-
-    def shown(c: str, which: str) -> Column:
-        col = F.col(f"{c}_{which}")
-        return (col.cast("decimal(38,6)") if isinstance(df.schema[c].dataType, T.NumericType) else col).cast("string")
-
-    rows = [F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"{c}_nulls").alias("nulls"),
-                     F.col(f"{c}_distinct").alias("distinct_values"), shown(c, "min").alias("min_value"), shown(c, "max").alias("max_value"))
-            for c in columns]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    def shown(c: str, value: Column) -> Column:
+        return (value.cast("decimal(38,6)") if isinstance(df.schema[c].dataType, T.NumericType) else value).cast("string")
+
+    if not exact_distinct:
+        aggs = []
+        for c in columns:
+            aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls"), F.approx_count_distinct(F.col(c)).alias(f"{c}_distinct"),
+                     F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+        one = df.agg(F.count("*").alias("_rows"), *aggs)
+        rows = [F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"{c}_nulls").alias("nulls"),
+                         F.col(f"{c}_distinct").alias("distinct_values"), shown(c, F.col(f"{c}_min")).alias("min_value"), shown(c, F.col(f"{c}_max")).alias("max_value"))
+                for c in columns]
+        return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    out = None
+    for c in columns:  # one count of values per column gives all facts; no row is multiplied
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        facts = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+                           F.count("v").alias("distinct_values"), shown(c, F.min("v")).alias("min_value"), shown(c, F.max("v")).alias("max_value"))
+        row = facts.select(F.lit(c).alias("column"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def profile_drift(source: DataFrame, target: DataFrame, columns: Sequence[str], exact_distinct: bool = True) -> DataFrame:
@@ -258,11 +263,16 @@ def stratified_ids(df: DataFrame, key: str, sample_size: int) -> DataFrame:
     from newsgauge.functions.stats import ranks_between
 
     ids = df.select(key)
-    total = df.count()
-    size = min(sample_size, total)
-    third, rest = size // 3, size % 3
-    first = ids.orderBy(F.col(key).asc()).limit(third).withColumn("stratum", F.lit("first"))
-    low = max(0, total // 2 - third // 2)
+    total = df.agg(F.count("*")).scalar()
+    size = F.least(F.lit(sample_size), total)
+    third, rest = F.floor(size / 3), size % 3
+    n = sample_size // 3  # what the limits need at most; fewer rows make fewer
+
+    def ends(order: Column, stratum: str, wanted: Column, most: int) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(order))
+        return ids.orderBy(order).limit(most).withColumn("_place", place).where(F.col("_place") <= wanted).drop("_place").withColumn("stratum", F.lit(stratum))
+
+    low = F.greatest(F.lit(0), F.floor(total / 2) - F.floor(third / 2))
     middle = ranks_between(ids, key, low, low + third).withColumn("stratum", F.lit("middle"))
-    last = ids.orderBy(F.col(key).desc()).limit(third + rest).withColumn("stratum", F.lit("last"))
-    return first.unionByName(middle).unionByName(last)
+    return (ends(F.col(key).asc(), "first", third, n).unionByName(middle)
+            .unionByName(ends(F.col(key).desc(), "last", third + rest, n + 2)))

@@ -102,6 +102,15 @@ def heatmap_pivot(df: DataFrame, dates: Sequence[str]) -> DataFrame:
     return wide.select("ticker", *[F.col(f"`{d}`").alias("d_" + d.replace("-", "_")) for d in dates])
 
 
+def heatmap_grid(df: DataFrame) -> DataFrame:
+    """Every ticker on every date that any record has, with a NULL mean where it has none: the cells of the pivot, without a
+    column per date and without a job that looks for the dates."""
+    long = heatmap(df)
+    dates = long.agg(F.array_sort(F.collect_set("date"))).scalar()  # as many values as the data have days
+    cells = long.select("ticker").distinct().select("ticker", F.explode(dates).alias("date"))
+    return cells.join(long, ["ticker", "date"], "left")
+
+
 def news_summary(df: DataFrame) -> DataFrame:
     """Rows, oldest and newest per ticker, and the grand total (ticker NULL), in one pass."""
     return df.rollup("ticker").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))

@@ -243,12 +243,12 @@ def content_hash(t):
     return t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"))
 
 
-_TAGS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
-
-@query("tag_matrix", "item", "SELECT id, " + ", ".join(f"list_contains(tags, '{x}') AS has_{x.lower()}" for x in _TAGS) + " FROM item")
+@query("tag_matrix", "item", """
+WITH held AS (SELECT DISTINCT epic_id, unnest(tags) AS tag FROM item)
+SELECT epic_id, id, tag, list_contains(tags, tag) AS has FROM item JOIN held USING (epic_id)""")
 def tag_matrix(t):
-    return M.tag_matrix(t.item, _TAGS)
+    """The items of each epic against all tags that the epic has."""
+    return M.tag_membership(t.item, "epic_id")
 
 
 @query("timeline_position", "item", """

@@ -106,13 +106,13 @@ def heatmap_long(t):
     return S.heatmap(t.sentiment)
 
 
-@query("heatmap_pivot", "sentiment", """
-PIVOT (SELECT ticker, strftime(ts, 'd_%Y_%m_%d') AS d, sentiment_score FROM sentiment) ON d USING round(avg(sentiment_score), 9) GROUP BY ticker""")
+@query("heatmap_pivot", "sentiment", f"""
+WITH long AS (SELECT ticker, CAST(ts AS DATE) AS date, round({_MEAN}, 9) AS mean_score FROM sentiment GROUP BY ALL),
+cells AS (SELECT ticker, date FROM (SELECT DISTINCT ticker FROM long), (SELECT DISTINCT date FROM long))
+SELECT ticker, date, mean_score FROM cells LEFT JOIN long USING (ticker, date)""")
 def heatmap_pivot(t):
-    """The columns are the days of the data."""
-    days = [r["date"] for r in t.sentiment.select(F.date_format("ts", "yyyy-MM-dd").alias("date")).distinct().orderBy("date").collect()]
-    wide = S.heatmap_pivot(t.sentiment, days)
-    return wide.select("ticker", *[F.round(c, 9).alias(c) for c in wide.columns[1:]])
+    """All cells of the heat map, empty ones too."""
+    return S.heatmap_grid(t.sentiment).withColumn("mean_score", F.round("mean_score", 9))
 
 
 @query("news_summary", "sentiment",

@@ -69,6 +69,28 @@ def ewma(t):
     return L.ewma(t.op_log, "query_type", "duration_ms", ["ts", "op_id"]).withColumn("ewma", F.round("ewma", 6))
 
 
+@query("ewma_running", "op_log", """
+SELECT op_id, query_type, round(list_reduce(l, lambda a, x: a * 0.3::DOUBLE + x * 0.7::DOUBLE), 6) AS ewma FROM (
+  SELECT op_id, query_type, list(duration_ms) OVER (PARTITION BY query_type ORDER BY ts, op_id ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS l FROM op_log)""")
+def ewma_running(t):
+    """The moving average after every operation."""
+    rows = t.op_log.select("op_id", "query_type", "duration_ms", "ts")
+    return L.moving_average(rows, "query_type", "duration_ms", ["ts", "op_id"])[0].select("op_id", "query_type", F.round("ewma", 6).alias("ewma"))
+
+
+@query("p95_rollup", "op_log", "SELECT op_type, count(*) AS n, true AS p50_close, true AS p95_close, true AS p99_close FROM op_log GROUP BY op_type")
+def p95_rollup(t):
+    """Quantiles of the whole time from stored sketches of 15 minutes; each is held against the share of operations that are really
+    as quick, which may be off by 2 %."""
+    from newsgauge.session import staged
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    rolled = L.rolled_up(staged(L.duration_sketches(t.op_log, ["op_type"])), ["op_type"], probs)
+    d = F.col("duration_ms")
+    shares = [F.struct(F.avg((d < F.col(p)).cast("int")).alias("below"), F.avg((d <= F.col(p)).cast("int")).alias("upto")).alias(f"{p}_share") for p in probs]
+    held = t.op_log.join(rolled, "op_type").groupBy("op_type", "n").agg(*shares)
+    return held.select("op_type", "n", *[((F.col(f"{p}_share.below") <= q + 0.02) & (F.col(f"{p}_share.upto") >= q - 0.02)).alias(f"{p}_close") for p, q in probs.items()])
+
+
 @query("rate_usage", "op_log", """
 WITH p AS (SELECT client, query_type, count(*) AS n FROM op_log WHERE ts <= TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-20' - INTERVAL 36 HOURS GROUP BY ALL)
 SELECT count(DISTINCT client) AS total_clients, count(*) AS total_endpoints, count(*) FILTER (n > 4 * 0.75) AS approaching_limit FROM p""")
