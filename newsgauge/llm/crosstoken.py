@@ -13,14 +13,16 @@ import hashlib
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from newsgauge.llm.ordering import scalar
-from newsgauge.llm.segments import Cache, segmented
+from newsgauge.llm.segments import OTHER_SPACE, segmented
 from newsgauge.session import staged
 
 #: Bytes of text that are aligned at once.
@@ -58,6 +60,10 @@ class ByteSide:
         self.size = max(pieces) + 1
         self.pieces = [pieces.get(i, b"") for i in range(self.size)]
 
+    def encode_parts(self, names: pa.Array, data: bytes) -> list[list[int]]:
+        """Of segments that lie one after the other in ``data``: as one text, as its pattern cuts at their blanks."""
+        return self.encode([data.decode()])
+
 
 class PieceSide:
     """A sentencepiece model, which adds a blank in front of a text by itself; the segments' own blank is taken off."""
@@ -72,6 +78,10 @@ class PieceSide:
         self.pieces = [bytes([int(x[3:5], 16)]) if own.is_byte(i) else x.replace("▁", " ").encode()
                        for i, x in enumerate(own.id_to_piece(list(range(self.size))))]
 
+    def encode_parts(self, names: pa.Array, data: bytes) -> list[list[int]]:
+        """Each by itself, as its time grows faster than a text."""
+        return self.encode(names.to_pylist())
+
 
 def _made(kind: type, *args: str):
     """One for each worker process; it outlives the task."""
@@ -83,42 +93,67 @@ def _made(kind: type, *args: str):
 
 
 class Aligner:
-    """Both sides, with what they give for each distinct segment of text."""
+    """Both sides, and what they give for the distinct segments of texts."""
 
     def __init__(self, bytes_path: str, pieces_path: str, pattern: str):
         self.a, self.b = ByteSide(bytes_path, pattern), PieceSide(pieces_path)
         self.sizes = [np.array([len(p) for p in side.pieces], np.int64) for side in (self.a, self.b)]
         # Ids in decimal, closed by what follows them: another token of the group, the other side, the next group.
         self.words = [pa.array([f"{i}{mark}" for mark in marks for i in range(side.size)]) for side, marks in ((self.a, ",|"), (self.b, ",;"))]
-        self.cache = Cache(self._segments)
-
-    def _segments(self, names: list[str]) -> list[tuple[np.ndarray, np.ndarray] | tuple[()]]:
+        self.bytes = [pa.array(side.pieces, pa.binary()) for side in (self.a, self.b)]
+
+    def _joined(self, names: pa.Array) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """(ids, number of ids per text) of each side for segments that do not end in white space; None if a side does not give
+        back their bytes, cut where they are."""
+        data = names.buffers()[2].to_pybytes()
+        places = np.frombuffer(names.buffers()[1], np.int32)[names.offset:names.offset + len(names) + 1].astype(np.int64)
+        data, ends = data[places[0]:places[-1]], places[1:] - places[0]
         out = []
-        for name, a, b in zip(names, self.a.encode(names), self.b.encode(names), strict=True):
-            data = name.encode()
-            alike = b"".join([self.a.pieces[i] for i in a]) == data == b"".join([self.b.pieces[i] for i in b])
-            out.append((np.array(a, np.int32), np.array(b, np.int32), alike))
+        for s, side in enumerate((self.a, self.b)):
+            ids = np.fromiter(chain.from_iterable(side.encode_parts(names, data)), np.int64)
+            upto = np.cumsum(self.sizes[s][ids])
+            at = np.minimum(np.searchsorted(upto, ends), max(len(upto) - 1, 0))
+            if not len(ids) or (upto[at] != ends).any() or _concatenated(self.bytes[s].take(pa.array(ids))) != data:
+                return None
+            out.append((ids, np.diff(at + 1, prepend=0)))
         return out
 
+    def _each(self, names: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """The same one by one, for any segments, and which of them both sides give back."""
+        made = [side.encode(names) if names else [] for side in (self.a, self.b)]
+        alike = [b"".join([self.a.pieces[i] for i in a]) == x.encode() == b"".join([self.b.pieces[i] for i in b]) for x, a, b in zip(names, *made, strict=True)]
+        return [(np.array([i for ids in m for i in ids], np.int64), np.array([len(ids) for ids in m], np.int64)) for m in made], np.array(alike, bool)
+
     def tokens(self, segments) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Ids of both sides, their number in each text, and which texts are kept: those whose bytes both sides give back."""
-        made = self.cache.get(segments.names.to_pylist())
-        alike = np.array([x[2] for x in made], bool)
+        plain = ~pc.match_substring_regex(segments.names, rf"[\t-\r ]$|{OTHER_SPACE}").to_numpy(zero_copy_only=False).astype(bool)
+        joined = self._joined(segments.names.filter(pa.array(plain))) if plain.any() else None
+        if joined is None:
+            plain[:] = False
+            joined = [(np.zeros(0, np.int64),) * 2] * 2
+        rest, alike = self._each(segments.names.filter(pa.array(~plain)).to_pylist())
+        place = np.zeros(len(plain), np.int64)
+        place[plain], place[~plain] = np.arange(plain.sum()), plain.sum() + np.arange((~plain).sum())
+        lost = np.zeros(len(plain), bool)
+        lost[~plain] = ~alike
         text = np.repeat(np.arange(len(segments.counts)), segments.counts)
         good = segments.counts > 0
-        good[text[~alike[segments.index]]] = False
-        index = segments.index[good[text]]
-        text = text[good[text]]
+        good[text[lost[segments.index]]] = False
+        index, text = place[segments.index[good[text]]], text[good[text]]
         ids, counts = [], []
-        for side in (0, 1):
-            sizes = np.array([len(x[side]) for x in made], np.int64)
-            flat = np.concatenate([x[side] for x in made]) if made else np.zeros(0, np.int32)
+        for whole, single in zip(joined, rest, strict=True):
+            flat, sizes = (np.concatenate(x) for x in zip(whole, single, strict=True))
             taken = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)).take(pa.array(index))
-            ids.append(taken.flatten().to_numpy().astype(np.int64))
+            ids.append(taken.flatten().to_numpy())
             counts.append(np.bincount(text, weights=sizes[index], minlength=len(segments.counts)).astype(np.int64))
         return ids, counts, good
 
 
+def _concatenated(column: pa.Array) -> bytes:
+    """The values of a binary array one after the other."""
+    return column.buffers()[2].to_pybytes()[:np.frombuffer(column.buffers()[1], np.int32)[len(column)]]
+
+
 def covering(starts: pd.DataFrame, tokens: pd.DataFrame) -> np.ndarray:
     """For each token start the place of the other side's token that covers it. Both frames: document, at (ascending)."""
     other = tokens.assign(place=np.arange(len(tokens)))
