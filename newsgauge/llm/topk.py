@@ -52,7 +52,7 @@ class _Scores:
     def of(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         most = float(np.abs(q).sum())
         if self.largest * most < 2.0**52:
-            return (self.x[rows] @ q).astype(np.int64)
+            return ((self.x @ q)[rows] if 4 * len(rows) > len(self.x) else self.x[rows] @ q).astype(np.int64)
         if self.longs is None:
             self.longs = np.where(np.abs(self.x) < 2.0**62, self.x, 0).astype(np.int64)
         fits = self.sizes[rows] * most < 2.0**62
@@ -83,7 +83,7 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries:
         seen[:] = False
         found, held = [], []
         kept = np.zeros(0, np.int64)
-        depth, done = 0, False
+        depth, left, done = 0, n, False
         while not done:
             to = min(n, max(k, 64) if not depth else 4 * depth)
             new = np.zeros(n, bool)
@@ -95,6 +95,7 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries:
             new &= ~seen
             seen |= new
             place = np.flatnonzero(new)
+            left -= len(place)
             place = place[rows[place] != query_rows[i]]
             score = scores.of(place, q)
             found.append(place)
@@ -104,7 +105,7 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries:
             ends = np.concatenate([ranked[up, n - depth], ranked[down, depth - 1]])
             terms = ends * np.concatenate([q[up], q[down]])
             bound = terms.sum() + 1e-12 * np.abs(terms).sum()  # never below the true sum
-            done = depth == n or least[i] > bound or (len(kept) >= k and kept[0] > bound)
+            done = not left or least[i] > bound or (len(kept) >= k and kept[0] > bound)
         place, score = np.concatenate(found), np.concatenate(held)
         best = np.lexsort((ids[place], -score))[:k]
         yield i, place[best], score[best], len(place)
