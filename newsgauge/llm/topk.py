@@ -47,12 +47,14 @@ class _Scores:
     def __init__(self, x: np.ndarray):
         self.x, self.largest = x, float(np.abs(x).max(initial=0))
         self.sizes = np.abs(x).max(1, initial=0)
-        self.longs = None
+        self.longs = self.last = None
 
     def of(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         most = float(np.abs(q).sum())
         if self.largest * most < 2.0**52:
-            return ((self.x @ q)[rows] if 4 * len(rows) > len(self.x) else self.x[rows] @ q).astype(np.int64)
+            if 4 * len(rows) > len(self.x) and self.last is not q:  # kept for the rest of the query's walk
+                self.last, self.all = q, (self.x @ q).astype(np.int64)
+            return self.all[rows] if self.last is q else (self.x[rows] @ q).astype(np.int64)
         if self.longs is None:
             self.longs = np.where(np.abs(self.x) < 2.0**62, self.x, 0).astype(np.int64)
         fits = self.sizes[rows] * most < 2.0**62
@@ -87,9 +89,10 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries:
         while not done:
             to = min(n, max(k, 64) if not depth else 4 * depth)
             new = np.zeros(n, bool)
-            new[order[up, n - to:n - depth]] = True
-            new[order[down, depth:to]] = True
-            if not len(used):
+            if 16 * left >= n:
+                new[order[up, n - to:n - depth]] = True
+                new[order[down, depth:to]] = True
+            if not len(used) or 16 * left < n:  # the lists end here: the last few are scored as they are
                 new[:] = True
                 to = n
             new &= ~seen
@@ -100,15 +103,20 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries:
             score = scores.of(place, q)
             found.append(place)
             held.append(score)
-            kept = np.sort(np.concatenate([kept, score]))[-k:]
+            kept = np.concatenate([kept, score])
+            kept = np.sort(np.partition(kept, len(kept) - k)[-k:] if len(kept) > k else kept)
             depth = to
             ends = np.concatenate([ranked[up, n - depth], ranked[down, depth - 1]])
             terms = ends * np.concatenate([q[up], q[down]])
             bound = terms.sum() + 1e-12 * np.abs(terms).sum()  # never below the true sum
             done = not left or least[i] > bound or (len(kept) >= k and kept[0] > bound)
         place, score = np.concatenate(found), np.concatenate(held)
+        scored = len(place)
+        if scored > k:  # only what reaches the kth score is put in order
+            high = score >= kept[0]
+            place, score = place[high], score[high]
         best = np.lexsort((ids[place], -score))[:k]
-        yield i, place[best], score[best], len(place)
+        yield i, place[best], score[best], scored
 
 
 def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64,
