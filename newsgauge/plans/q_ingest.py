@@ -58,6 +58,33 @@ def json_items(t):
     return back.withColumn("tags", F.array_join("tags", ","))
 
 
+@query("json_documents", "", """
+SELECT CASE WHEN doc_id % 17 = 0 THEN 'broken' ELSE 'read' END AS status, CASE WHEN doc_id % 17 <> 0 THEN lang END AS lang, count(*) AS files,
+  CAST(sum(CASE WHEN doc_id % 17 <> 0 THEN n_chars END) AS BIGINT) AS chars, CAST(sum(CASE WHEN doc_id % 17 <> 0 THEN length(text) END) AS BIGINT) AS letters
+FROM documents GROUP BY ALL""")
+def json_documents(t):
+    """Documents kept as one JSON file each; files that were cut off are set aside."""
+    folder = scratch_path(t.spark, "documents")
+    kept = F.struct("doc_id", "lang", "source", "n_chars", "text")
+    body = F.to_json(kept, {"pretty": "true"})
+    cut = F.when(F.col("doc_id") % 17 == 0, F.substring(body, 1, 40)).otherwise(body)
+    files.write_documents(t.documents.select(cut.alias("value")), folder, "value")
+    good, bad = files.read_document_files(t.spark, folder, t.documents.select("doc_id", "lang", "source", "n_chars", "text").schema)
+    none = F.lit(None)
+    return (good.groupBy(F.lit("read").alias("status"), "lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.sum(F.length("text")).alias("letters"))
+            .unionByName(bad.groupBy(F.lit("broken").alias("status")).agg(F.count("*").alias("files"))
+                         .select("status", none.cast("string").alias("lang"), "files", none.cast("bigint").alias("chars"), none.cast("bigint").alias("letters"))))
+
+
+@query("document_inventory", "", "SELECT source, count(*) AS files, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def document_inventory(t):
+    """Files and bytes per source folder, from the listing alone."""
+    folder = scratch_path(t.spark, "inventory")
+    files.write_documents(t.documents.select("text", "source"), folder, "text", ["source"])
+    found = files.file_inventory(t.spark, folder, "*.txt").withColumn("source", F.regexp_extract("path", "/source=([^/]*)/", 1))
+    return W.manifest_inventory(found, "source")
+
+
 def earnings_payload(t):
     """Earnings as vendor payloads: one or two reports each, some with the other pair of field names."""
     i = F.col("report_id")

@@ -47,6 +47,27 @@ listing("evidence_text_search_tag", """contains(lower(title), 'econ') OR contain
         lambda: M.evidence_conditions(text="ECON"))
 
 
+_TERMS = ("urgent", "econ", "r 12", "1996-0", "zq")
+
+
+@query("evidence_indexed_search", "item", " UNION ALL ".join(f"""
+SELECT '{x}' AS term, id FROM item WHERE contains(lower(title), '{x}') OR contains(lower(description), '{x}') OR contains(lower(source), '{x}')
+  OR contains(lower(subcategory), '{x}') OR len(list_filter(tags, lambda y: contains(lower(y), '{x}'))) > 0""" for x in _TERMS))
+def evidence_indexed_search(t):
+    """The text search of evidence lists through an index of three-letter grams; the last term has none and is scanned for."""
+    from newsgauge.operators.textsearch import TextIndex, searchable
+    from newsgauge.session import staged
+    items = staged(t.item.select("id", "title", "description", "source", "subcategory", "tags"))
+    text = searchable(["title", "description", "source", "subcategory"], "tags")
+    index = TextIndex(t.spark)
+    index.build(items, text)
+    out = None
+    for term in _TERMS:
+        hits = index.search(items, text, term.upper()).select(F.lit(term).alias("term"), "id")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 @query("evidence_attachment_search", "item", """
 SELECT id FROM item WHERE contains(lower(title), 'scan 3') OR contains(lower(description), 'scan 3') OR contains('scan ' || (num % 50), 'scan 3')""")
 def evidence_attachment_search(t):

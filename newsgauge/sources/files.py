@@ -40,6 +40,28 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType) ->
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def write_documents(df: DataFrame, folder: str, value: str, by: Sequence[str] = ()) -> None:
+    """One text file for each row, in folders by the columns ``by``."""
+    out = df.select(value, *by).write.mode("error").option("maxRecordsPerFile", 1)
+    (out.partitionBy(*by) if by else out).text(folder)
+
+
+def read_document_files(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """One JSON document per file: (documents with the ``path`` they come from, files that hold none: path and content)."""
+    broken = "_broken"
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
+    wide = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    read = whole.withColumn("_d", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}))
+    bad = F.col("_d").isNull() | F.col(f"_d.{broken}").isNotNull()
+    return read.where(~bad).select("path", *[F.col(f"_d.{f}").alias(f) for f in schema.fieldNames()]), read.where(bad).select("path", F.col("value").alias("content"))
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, size, mtime) of every file below a folder; no content is read, as its column is not asked for."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
 def export_projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exactly ``columns`` as text, in order; a missing column or value becomes an empty string."""
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c)
