@@ -103,26 +103,30 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return out.drop("_all")
 
 
-def number_in_chunks(df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence[str],
-                     number: str, following: str) -> DataFrame:
+def number_in_chunks(df: DataFrame, key: Sequence[str], chunk: Column | None, order: Sequence[str],
+                     number: str, following: str, chunk_bits: int = 12) -> DataFrame:
     """Running number per key in ascending ``order``, and the leading order column of the key's next row.
 
     The same as ``row_number`` and ``lead`` over the whole key, but a key with many rows is worked on chunk by
-    chunk: ``chunk`` must rise with the leading order column. Only one summary row per (key, chunk) meets in one
-    task.
+    chunk: ``chunk`` must rise with the leading order column; without it the rows are sorted and staged, and a chunk is up to
+    2**chunk_bits neighbouring rows. Only one summary row per (key, chunk) meets in one task. A null key is one too.
     """
     lead = order[0]
-    df = df.withColumn("_chunk", chunk)
-    inner = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    across = Window.partitionBy(*key).orderBy("_chunk")
-    chunks = df.groupBy(*key, "_chunk").agg(F.count("*").alias("_size"), F.min(lead).alias("_first"))
+    columns = df.columns
+    if chunk is None:
+        df = staged(df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("_id", F.monotonically_increasing_id()))
+        chunk = F.shiftright("_id", chunk_bits)
+    df = df.withColumn("_chunk", F.struct(*[F.col(k) for k in key], chunk.alias("_part")))  # as a struct, nulls are equal in the join
+    inner = Window.partitionBy("_chunk").orderBy(*order)
+    across = Window.partitionBy(*[f"_chunk.{k}" for k in key]).orderBy("_chunk._part")
+    chunks = df.groupBy("_chunk").agg(F.count("*").alias("_size"), F.min(lead).alias("_first"))
     chunks = chunks.select(
-        *key, "_chunk", F.lead("_first").over(across).alias("_next"),
+        "_chunk", F.lead("_first").over(across).alias("_next"),
         F.coalesce(F.sum("_size").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return (df.join(chunks, [*key, "_chunk"])
+    return (df.join(chunks, "_chunk")
             .withColumns({number: F.row_number().over(inner) + F.col("_before"),
                           following: F.coalesce(F.lead(lead).over(inner), F.col("_next"))})
-            .drop("_chunk", "_before", "_next"))
+            .select(*columns, number, following))
 
 
 def _composed(df: DataFrame, by: Sequence[str], order: str, rows: int) -> DataFrame:

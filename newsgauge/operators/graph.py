@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgauge.functions import vocab
@@ -183,9 +186,69 @@ def _levels(ego: DataFrame, max_level: int) -> list[DataFrame]:
     return [both, *levels]
 
 
-def betweenness(ego: DataFrame, max_depth: int) -> DataFrame:
+def betweenness(ego: DataFrame, max_depth: int, most_edges: int = 2_000_000, starts: int = 128) -> DataFrame:
     """Unnormalised betweenness of every node within every ego network (rows of :func:`ego_edges`).
 
+    A network of at most ``most_edges`` edges goes to tasks as a whole, each with some ``starts`` of its nodes, from which the
+    shortest paths are counted at once; a larger one is worked on by joins, level by level. Both give the same.
+    """
+    ego = staged(ego.select("center", "a", "b"))
+    sizes = ego.groupBy("center").agg(F.count("*").alias("_edges"))
+    large = sizes.where(F.col("_edges") > most_edges).select("center")
+    small = ego.join(large, "center", "left_anti")
+    nodes = small.select("center", F.explode(F.array("a", "b")).alias("start")).distinct()
+    block = F.floor((F.row_number().over(Window.partitionBy("center").orderBy("start")) - 1) / starts)
+    dealt = staged(nodes.withColumn("block", block))
+    blocks = dealt.groupBy("center").agg(F.max("block").alias("last"))
+    edges = small.join(blocks, "center").select("center", "a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("part"))
+    kind = dict(ego.dtypes)
+    credit = (edges.groupBy("center", "part").cogroup(dealt.select(F.col("center").alias("of"), "start", "block").groupBy("of", "block"))
+              .applyInArrow(_credits, f"center {kind['center']}, node {kind['a']}, credit double"))
+    out = credit.groupBy("center", "node").agg((F.sum("credit") / 2).alias("betweenness"))
+    if large.limit(1).count():
+        out = out.unionByName(_betweenness_by_joins(ego.join(large, "center", "left_semi"), max_depth))
+    return out
+
+
+def _credits(edges: pa.Table, wanted: pa.Table) -> pa.Table:
+    """What the nodes of one network earn from the shortest paths that begin in ``wanted``: paths are counted outwards level by
+    level for many starts at once, and credits handed back from the farthest level."""
+    ends = pa.concat_arrays([edges.column(c).combine_chunks() for c in ("a", "b")]).dictionary_encode()
+    nodes, places = ends.dictionary, ends.indices.to_numpy().astype(np.int64)
+    n, m = len(nodes), edges.num_rows
+    u, v = places, np.concatenate([places[m:], places[:m]])
+    order = np.argsort(v, kind="stable")
+    u, v = u[order], v[order]
+    first = np.searchsorted(v, np.arange(n))  # every node is an end of some edge
+    starts = pc.index_in(wanted.column("start"), value_set=nodes).to_numpy()
+    total = np.zeros(n)
+    at_once = max(1, 4_000_000 // (2 * m))
+    for low in range(0, len(starts), at_once):
+        s = starts[low:low + at_once]
+        row = np.arange(len(s))
+        distance, paths = np.full((len(s), n), -1, np.int32), np.zeros((len(s), n))
+        distance[row, s], paths[row, s] = 0, 1.0
+        depth = 0
+        while True:
+            reached = np.add.reduceat(np.where(distance == depth, paths, 0.0)[:, u], first, axis=1)
+            new = (distance < 0) & (reached > 0)
+            if not new.any():
+                break
+            depth += 1
+            distance[new], paths[new] = depth, reached[new]
+        credit = np.zeros((len(s), n))
+        for d in range(depth, 0, -1):
+            share = np.divide(1 + credit, paths, out=np.zeros_like(paths), where=distance == d)
+            credit += np.where(distance == d - 1, paths * np.add.reduceat(share[:, u], first, axis=1), 0.0)
+        credit[row, s] = 0.0
+        total += credit.sum(0)
+    center = pa.array([edges.column("center")[0].as_py()] * n, edges.schema.field("center").type)
+    return pa.table({"center": center, "node": nodes, "credit": total})
+
+
+def _betweenness_by_joins(ego: DataFrame, max_depth: int) -> DataFrame:
+    """:func:`betweenness` without any network in one task.
+
     Shortest paths are counted from all nodes of all networks at once and credits handed back level by level.
     Work is spread by (network, start), so a large network is shared by many tasks. Two nodes of an ego network
     are at most 2 * (max_depth + 1) hops apart.

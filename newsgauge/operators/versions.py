@@ -53,12 +53,13 @@ def rollback(current: DataFrame, backups: DataFrame, migration_id: str, key: str
     return current.join(pre.select(key), key, "left_anti").unionByName(pre)
 
 
-def scd2(changes: DataFrame, key: str = "id", ts: str = "ts", tie: str = "seq", chunk: str = "day") -> DataFrame:
+def scd2(changes: DataFrame, key: str = "id", ts: str = "ts", tie: str = "seq") -> DataFrame:
     """Version rows: number from 1, valid from, valid to (NULL for the current one) and the current flag.
 
-    Works through a key's history in time chunks, so that one key may hold any share of the rows.
+    Works through a key's history in chunks of a bounded number of rows, so that one key, also within one day, may hold any
+    share of them.
     """
-    out = number_in_chunks(changes, [key], F.date_trunc(chunk, ts), [ts, tie], "version", "valid_to")
+    out = number_in_chunks(changes, [key], None, [ts, tie], "version", "valid_to")
     return out.withColumns({"valid_from": F.col(ts), "is_current": F.col("valid_to").isNull(), "version": F.col("version").cast("long")})
 
 
@@ -70,11 +71,11 @@ def version_diff(versions: DataFrame, pairs: DataFrame, fields: Sequence[str] =
     """Changed fields between two versions of a record: ``pairs`` holds (id, current, previous)."""
     fields = [f for f in fields if f in versions.columns]
 
-    def side(column: str, name: str) -> DataFrame:
-        values = F.struct(*[F.col(f) for f in fields]).alias(name)
-        return versions.select("id", F.col("version").alias(column), values)
-
-    both = pairs.join(side("current", "_c"), ["id", "current"]).join(side("previous", "_p"), ["id", "previous"])
+    values = F.struct(*[F.col(f) for f in fields])
+    both = (versions.join(pairs, "id").where((F.col("version") == F.col("current")) | (F.col("version") == F.col("previous")))
+            .groupBy("id", "current", "previous").agg(F.max_by(values, F.when(F.col("version") == F.col("current"), 1)).alias("_c"),
+                                                      F.max_by(values, F.when(F.col("version") == F.col("previous"), 1)).alias("_p"))
+            .where(F.col("_c").isNotNull() & F.col("_p").isNotNull()))
     changed = F.array_compact(F.array(*[
         F.when(~F.col(f"_c.{f}").eqNullSafe(F.col(f"_p.{f}")),
                F.struct(F.lit(f).alias("field"), F.col(f"_c.{f}").cast("string").alias("current_value"),

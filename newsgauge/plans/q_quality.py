@@ -310,12 +310,14 @@ WITH d AS (SELECT id, unnest([CASE WHEN num % 4 = 0 AND upper(title) <> title TH
   CASE WHEN num % 5 = 0 THEN {'f': 'tags', 'c': '[' || array_to_string(list_concat(tags, ['NEW']), ', ') || ']', 'p': '[' || array_to_string(tags, ', ') || ']'} END]) AS x FROM item)
 SELECT id, 2 AS current, 1 AS previous, x.f AS field, x.c AS current_value, x.p AS previous_value FROM d WHERE x IS NOT NULL""")
 def version_diff(t):
+    from newsgauge.session import staged
     n = F.col("num")
-    old = t.item.withColumn("version", F.lit(1))
-    new = t.item.withColumns({"version": F.lit(2), "title": F.when(n % 4 == 0, F.upper("title")).otherwise(F.col("title")),
+    items = staged(t.item.select("id", "num", "title", "category", "tags"))
+    old = items.withColumn("version", F.lit(1))
+    new = items.withColumns({"version": F.lit(2), "title": F.when(n % 4 == 0, F.upper("title")).otherwise(F.col("title")),
                               "category": F.when(n % 3 == 0, "Design").otherwise(F.col("category")),
                               "tags": F.when(n % 5 == 0, F.concat("tags", F.array(F.lit("NEW")))).otherwise(F.col("tags"))})
-    pairs = t.item.select("id", F.lit(2).alias("current"), F.lit(1).alias("previous"))
+    pairs = items.select("id", F.lit(2).alias("current"), F.lit(1).alias("previous"))
     return V.version_diff(old.unionByName(new), pairs)
 
 

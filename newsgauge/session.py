@@ -36,8 +36,11 @@ def get_spark(app: str = "newsgauge", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``, or where that is unset the warehouse."""
+    """The folder all executors can reach: ``spark.checkpoint.dir``. Where that is unset, on one machine a folder in the
+    warehouse, on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +214,16 @@ def test_full_text_looks_everywhere(spark):
     df = spark.createDataFrame([("1", "t", "d", "s", "u", ["Needle"], [("x",)]), ("2", "t", None, "s", "u", None, [("a NEEDLE b",)]), ("3", "t", "d", "s", "u", [], [])],
                                "id string, title string, description string, source string, subcategory string, tags array<string>, attachments array<struct<description:string>>")
     assert sorted(r.id for r in df.where(M.full_text("needle", has_attachments=True)).collect()) == ["1", "2"]
+
+
+def test_versions_of_a_key_that_fills_one_day(spark):
+    """Chunks are of rows, not of days; a null key is a key."""
+    from newsgauge.functions.stats import number_in_chunks
+    rows = [(None if i % 3 == 0 else "hot", T0 + timedelta(microseconds=i // 2), i, "s") for i in range(900)] + [("one", T0, 0, "s")]
+    df = spark.createDataFrame(rows, "id string, ts timestamp_ntz, seq long, state string").repartition(5)
+    got = sorted((str(r.id), r.seq, r.version, r.valid_to) for r in number_in_chunks(df, ["id"], None, ["ts", "seq"], "version", "valid_to", chunk_bits=5).collect())
+    want = []
+    for k in (None, "hot", "one"):
+        own = sorted((r[1], r[2]) for r in rows if r[0] == k)
+        want += [(str(k), seq, n + 1, own[n + 1][0] if n + 1 < len(own) else None) for n, (_, seq) in enumerate(own)]
+    assert got == sorted(want) and V.scd2(df).count() == 901

@@ -11,7 +11,6 @@ from newsgauge.plans import load
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-SLOW = {"partitioned_write", "csv_roundtrip_ticker"}  # covered at the unit level, and by check.py
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def test_entry(spark):
     assert df.count() > 0 and "mean_score" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(set(load.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(load.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cur = con.execute(entry.oracle_sql()[name])

@@ -216,3 +216,15 @@ def test_lexicon_and_model_agree_and_cut_nothing(spark):
     assert got[6] == got[3] == got[4] == ("neutral", 0.0, 0.0)
     assert got[0] == ("negative", -0.5, 0.5)
     assert got[5][0] == "negative" or got[5][1] == pytest.approx((2000 * 1.0 - 5000 * 0.5) / 7000)
+
+
+def test_betweenness_of_whole_networks_and_by_joins(spark):
+    """The same from tasks that hold a network and from joins, also with several blocks of starts."""
+    rng = random.Random(7)
+    edges = [(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}", "relates_to", "weak", 50, T0) for _ in range(90)]
+    df = spark.createDataFrame([e for e in edges if e[0] != e[1]], "source_id string, target_id string, rel_type string, strength string, impact_score int, updated_at timestamp")
+    ego = G.ego_edges(df, spark.createDataFrame([("n1",), ("n2",), ("gone",)], "id string"), 2)
+    round_ = lambda d: {(r.center, r.node): round(r.betweenness, 9) for r in d.collect()}
+    whole = round_(G.betweenness(ego, 2))
+    assert whole and whole == round_(G.betweenness(ego, 2, starts=3)) == round_(G.betweenness(ego, 2, most_edges=0))
+    assert G.betweenness(ego.limit(0), 2).count() == 0
