@@ -44,6 +44,20 @@ def op5_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Compares all documents that share a shingle.
+ORACLES["op5_fast_similarity_sketching"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+two_way AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, b.v FROM reach r JOIN two_way b ON r.other = b.u)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, min(other) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON node = d.doc_id GROUP BY d.doc_id"""
+
+
 def vocabulary() -> str:
     """The tokenizer file of the packing query, installed on every machine."""
     import public_tokenizers
@@ -111,7 +125,15 @@ FROM shares"""
 @_query
 def op2_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
-    return warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_gzip_normaliser"] = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+first AS (SELECT payload_digest, max(page_id) AS page FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN f.page <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.page <> d.page_id THEN f.page END AS refers_to
+FROM d LEFT JOIN first f USING (payload_digest)"""
 
 
 ORACLES["op9_threshold_top_k"] = """
@@ -162,6 +184,16 @@ def op12_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+#: For pages of the given form: an article of headings and paragraphs with a few inline elements and character references.
+ORACLES["op12_wrapper_induction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x:
+  trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+    '&amp;', '&'), '&amp', '&'), '[\s\p{Z}]+', ' ', 'g'))) AS b FROM a)
+SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text,
+  CAST(length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10))) AS BIGINT) AS n_chars FROM b"""
+
+
 @_query
 def op13_search_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of all documents, grouped with their near words."""
