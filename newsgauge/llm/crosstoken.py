@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from newsgauge.llm.bpe import byte_letters
 from newsgauge.llm.ordering import scalar
 from newsgauge.llm.segments import OTHER_SPACE, segmented
 from newsgauge.session import staged
@@ -29,14 +30,6 @@ from newsgauge.session import staged
 _GROUP_BYTES = 1 << 20
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 bytes are themselves, the others
-    follow from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
-
 class ByteSide:
     """A byte-level BPE; ``path`` names its json file, or the same vocabulary as ranks, which is faster."""
 

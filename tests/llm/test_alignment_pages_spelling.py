@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
-from newsgauge.llm import crosstoken, spelling, wrappers
+from newsgauge.llm import bpe, crosstoken, spelling, wrappers
 
 SF = "/root/testdata/sf0.001"
 RANKS, JSON, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -25,7 +25,7 @@ def aligned_by_hand(docs):
     first = Tokenizer.from_file(JSON)
     first.encode_special_tokens = True
     second = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    letters = crosstoken.byte_letters()
+    letters = bpe.byte_letters()
     rows, count = [], Counter()
 
     def spans(pieces):
