@@ -20,6 +20,7 @@ def latest_edges(log: DataFrame, tie: str | None = None) -> DataFrame:
 
 
 def edge_errors() -> Column:
+    # The messages are fixed values: callers compare them.
     return violations([
         ("Cannot create a relationship with self", F.col("source_id") == F.col("target_id")),
         ("Invalid relationship type", F.col("rel_type").isNotNull() & ~F.col("rel_type").isin(vocab.RELATION_TYPES)),

@@ -10,6 +10,7 @@ from newsgauge.functions import vocab
 from newsgauge.functions.rules import Rule, blank, length_outside, not_in, not_iso, violations
 
 
+# The messages of the rules in this module are fixed values: callers compare them.
 def item_rules(date_columns: Sequence[str] = ("date_collected", "created_at", "updated_at")) -> list[Rule]:
     title = F.col("title")
     rules: list[Rule] = [
