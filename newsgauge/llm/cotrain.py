@@ -2,7 +2,8 @@
 
 Two views of a document have a naive Bayes classifier each: its text (hashed byte trigrams, and the shape of its wording) and
 its page metadata (source, language, length, layout). Both learn from a bounded labelled sample. In every round each view
-scores all unlabelled documents, and what it is confident of becomes a pseudo-label for the other view. The views are
+scores all unlabelled documents, and what it is confident of becomes a pseudo-label for the other view. The layout (lines and
+their length) is counted from the text, so the views share that much evidence; words and marks are the text's alone. The views are
 calibrated on labelled documents held back from the fit, and their calibrated odds combine to the score of a document.
 """
 
