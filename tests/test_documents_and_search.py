@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions.stats import exact_mean, exact_sum
 from newsgauge.operators import items as M
-from newsgauge.operators import reconcile, summaries, telemetry
+from newsgauge.operators import reconcile, summaries, telemetry, textsearch
 from newsgauge.operators.textsearch import TextIndex, grams, searchable
 from newsgauge.sources import files
 
@@ -44,6 +44,31 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
     assert "PushedFilters" in plan and "gram" in plan.split("PushedFilters")[1][:200]
 
 
+def test_index_grows_by_blocks_not_by_items(spark, tmp_path):
+    """One row for each gram and block, however many items hold the gram; keys of any type, repeated or null."""
+    rows = [(i // 2 if i % 50 else None, f"order {i:04d} \U0001f600 Ωx") for i in range(400)] + [(7, None), (8, "ab"), (9, "")]
+    items = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.build(items, F.lower("t"), "k")
+    postings = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert postings.where("gram = 'ord'").count() == postings.where("gram is null").count() == 1
+    for term in ("der 01", "\U0001f600 ω", "99 \U0001f600", "39"):
+        got = sorted(r.k for r in index.search(items, F.lower("t"), term, "k").collect() if r.k is not None)
+        assert got == sorted(k for k, t in rows if k is not None and t and term in t.lower())
+    assert sorted(r.id for r in index.candidates("r 03").collect() if r.id is not None) == list(range(150, 200))
+
+
+def test_blocks_of_long_texts(spark, tmp_path, monkeypatch):
+    rows = [(i, "x" * (i * 37 % 90) + f"needle{i % 3}") for i in range(60)]
+    items = spark.createDataFrame(rows, "id int, t string").coalesce(2)
+    monkeypatch.setattr(textsearch, "_LETTERS", 200)
+    got = [b for b in textsearch._gram_places([t for _, t in rows])[1]]
+    assert got[0] == 0 and got[-1] == sum(len({t[i:i + 3] for i in range(len(t) - 2)}) for _, t in rows)
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.build(items, F.col("t"))
+    assert sorted(r.id for r in index.search(items, F.col("t"), "needle1").collect()) == list(range(1, 60, 3))
+
+
 def test_grams_of_long_and_short_texts(spark):
     df = spark.createDataFrame([("",), ("ab",), ("abcab",), ("é" * 20000,)], "t string")
     assert [sorted(r[0]) for r in df.select(grams(F.col("t"))).collect()] == [[], [], ["abc", "bca", "cab"], ["ééé"]]
