@@ -28,6 +28,28 @@ def test_documents_one_per_file(spark, tmp_path):
     assert "content" not in inventory._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
+def test_many_documents_in_folders(spark, tmp_path):
+    """Names, folders and bytes as Spark's writer makes them, without the side files that cost a process each."""
+    odd = ["a", "b c", "x/y=1", "50%", "", None, "é", "[q]^'"]
+    rows = [(f"text {i} é\n" if i % 7 else None, odd[i % len(odd)], i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "v string, source string, n int")
+    files.write_documents(df, str(tmp_path / "d"), "v", ["source", "n"])
+    df.where("v is not null").dropDuplicates(["source", "n"]).write.partitionBy("source", "n").text(str(tmp_path / "w"))
+
+    def folders(root):
+        return {str(x.relative_to(root)) for x in root.rglob("n=*")}
+
+    assert folders(tmp_path / "d") == folders(tmp_path / "w")
+    got = [x.read_bytes() for x in (tmp_path / "d").rglob("*.txt")]
+    assert sorted(got) == sorted((v or "").encode() + b"\n" for v, _, _ in rows)
+    assert (tmp_path / "d" / "_SUCCESS").exists() and not list((tmp_path / "d").rglob(".part*"))
+    assert files.file_inventory(spark, str(tmp_path / "d"), "*.txt").count() == len(rows)
+    with pytest.raises(Exception):
+        files.write_documents(df, str(tmp_path / "d"), "v")
+    files.write_documents(df.limit(0), str(tmp_path / "none"), "v")
+    assert files.file_inventory(spark, str(tmp_path / "none"), "*.txt").count() == 0
+
+
 def test_indexed_search_equals_the_scan(spark, tmp_path):
     rng = random.Random(1)
     rows = [(f"I{i}", "".join(rng.choice("abcAB ") for _ in range(rng.randint(0, 40))) if i % 10 else None, rng.sample(["abba", "cab", "É ß"], rng.randint(0, 2))) for i in range(300)]
