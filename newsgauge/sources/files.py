@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from newsgauge import schemas
 from newsgauge.functions.text import epoch_to_ntz, iso_to_ntz
+from newsgauge.session import staged
 
 # Texts may hold line breaks and quotes.
 _CSV = {"header": "true", "multiLine": "true", "quote": "\"", "escape": "\"",
@@ -89,13 +90,15 @@ def _fewer_tasks(files: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def read_document_files(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """One JSON document per file: (documents with the ``path`` they come from, files that hold none: path and content)."""
+    """One JSON document per file: (documents with the ``path`` they come from, files that hold none: path and content). The
+    files are opened once, for both, and staged."""
     broken = "_broken"
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
+    whole = _fewer_tasks(spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name()), spark)
     wide = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
     read = whole.withColumn("_d", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}))
     bad = F.col("_d").isNull() | F.col(f"_d.{broken}").isNotNull()
-    return read.where(~bad).select("path", *[F.col(f"_d.{f}").alias(f) for f in schema.fieldNames()]), read.where(bad).select("path", F.col("value").alias("content"))
+    once = staged(read.select("path", bad.alias("bad"), F.when(bad, F.col("value")).alias("content"), F.when(~bad, F.col("_d").dropFields(broken)).alias("_d")))
+    return once.where(~F.col("bad")).select("path", *[F.col(f"_d.{f}").alias(f) for f in schema.fieldNames()]), once.where("bad").select("path", "content")
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -50,6 +50,14 @@ def test_many_documents_in_folders(spark, tmp_path):
     assert files.file_inventory(spark, str(tmp_path / "none"), "*.txt").count() == 0
 
 
+def test_document_files_are_opened_once(spark, tmp_path):
+    files.write_documents(spark.createDataFrame([('{"a": 1}',), ("{",)], "value string"), str(tmp_path / "d"), "value")
+    good, bad = files.read_document_files(spark, str(tmp_path / "d"), spark.createDataFrame([], "a int").schema)
+    for x in (tmp_path / "d").glob("*.txt"):
+        x.unlink()
+    assert [r.a for r in good.collect()] == [1] and [r.content for r in bad.collect()] == ["{\n"]
+
+
 def test_indexed_search_equals_the_scan(spark, tmp_path):
     rng = random.Random(1)
     rows = [(f"I{i}", "".join(rng.choice("abcAB ") for _ in range(rng.randint(0, 40))) if i % 10 else None, rng.sample(["abba", "cab", "É ß"], rng.randint(0, 2))) for i in range(300)]
