@@ -56,6 +56,17 @@ def test_requests_behind_the_watermark_are_dropped_and_counted(spark, places):
     assert triples(got) == triples(telemetry.rate_limits(spark.createDataFrame(requests(210), REQUEST), 5, 60))
 
 
+def test_clients_share_state(spark, places, monkeypatch):
+    """State grows with slices of time and buckets, not with clients; the counts are those of each client."""
+    monkeypatch.setattr(stateful, "BUCKETS", 4)
+    folder, path, checkpoint, seen = places
+    rows = [(i, f"c{i % 300}" if i % 300 else None, f"e{i % 2}", T0 + timedelta(seconds=i % 59)) for i in range(900)]
+    spark.createDataFrame(rows, REQUEST).coalesce(1).write.parquet(folder)
+    got = sliding(spark, folder, path, checkpoint, seen)
+    assert triples(got) == triples(telemetry.rate_limits(spark.createDataFrame(rows, REQUEST), 5, 60))
+    assert max(r.state_rows for r in jobs.progress_rows(spark, seen).collect()) <= 100
+
+
 def test_slices_go_without_new_requests_of_their_client(spark, places):
     folder, path, checkpoint, seen = places
     spark.createDataFrame([(i, "quiet", "e", T0 + timedelta(seconds=i)) for i in range(50)], REQUEST).coalesce(1).write.parquet(folder)
