@@ -7,12 +7,14 @@ are the same on nearly all pages of a node are template, and so are nodes that a
 links; what is left are slots, and what a page has in them is its content.
 
 Wrappers are built from all pages of a host: each task folds the pages it reads into a wrapper per host, and these partial
-wrappers are merged in rounds, a few at a time, so that a host of any size is never in one task.
+wrappers are merged in rounds, a few at a time, so that a host of any size is never in one task. A wrapper holds every kind of
+block of its host. Its texts are rows beside it, named by the nodes they were seen at, and counted by one aggregate.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -57,6 +59,10 @@ _ALIKE = 0.75
 _DEEPEST = 100
 #: Rows of children with a larger product of lengths are matched by their labels alone.
 _CELLS = 40_000
+#: A text on this share of the pages of a node, if those are at least so many, is template.
+_SHARE, _LEAST = 0.85, 3
+#: A task hands on the counts of its texts when it holds so many.
+_TEXTS_HELD = 100_000
 
 
 class Node:
@@ -180,7 +186,8 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node: label, furniture, pages, characters, characters in links, {text: pages}, children[, nodes of the page]
+# A wrapper node: label, furniture, pages, characters, characters in links, {text: pages}, children[, nodes of the page, or in
+# the wrapper of a host the numbers under which texts of the node were handed on]
 _LABEL, _FURNISHES, _PAGES, _CHARS, _LINKED, _TEXTS, _CHILDREN, _NODES = range(8)
 
 
@@ -278,9 +285,9 @@ def _lay(into: list, other: list, folding: bool = False) -> None:
     """Lays ``other`` over ``into``; in ``folding`` both are of one page."""
     into[_CHARS] += other[_CHARS]
     into[_LINKED] += other[_LINKED]
+    into[_NODES] += other[_NODES]
     texts = into[_TEXTS]
     if folding:
-        into[_NODES] += other[_NODES]
         texts.update(other[_TEXTS])
     else:
         into[_PAGES] += other[_PAGES]
@@ -298,38 +305,32 @@ def _lay(into: list, other: list, folding: bool = False) -> None:
     into[_CHILDREN] = children + left[done:] + right[at:]
 
 
-def _thin(node: list, kept: int) -> None:
-    """Bounds a wrapper. Texts are struck out by their counts, so that one on more than 1 in ``kept`` pages of a node stays
-    with at most that share missing from its count; likewise nodes that fewer than 1 in ``kept`` pages have."""
-    texts, children = node[_TEXTS], node[_CHILDREN]
-    if len(texts) > 4 * kept:
-        drop = sorted(texts.values(), reverse=True)[kept]
-        node[_TEXTS] = {t: n - drop for t, n in texts.items() if n > drop}
-    if len(children) > 4 * kept:
-        node[_CHILDREN] = children = [c for c in children if c[_PAGES] * kept >= node[_PAGES]]
-    for child in children:
-        _thin(child, kept)
+def _all(node: list) -> Iterator[list]:
+    """A node and all below it, always in the same order."""
+    yield node
+    for child in node[_CHILDREN]:
+        yield from _all(child)
 
 
-def merge(wrappers: Iterator[list], kept: int = 40) -> list | None:
+def _of_page(page: str) -> list:
+    """The wrapper of a host of one page."""
+    out = skeleton(parse(page))
+    for node in _all(out):
+        node[_NODES] = []
+    return out
+
+
+def merge(wrappers: Iterator[list]) -> list | None:
     out = None
     for wrapper in wrappers:
         if out is None:
             out = wrapper
         else:
             _lay(out, wrapper)
-        _thin(out, kept)
     return out
 
 
-def _dumps(wrapper: list) -> str:
-    def bare(node: list) -> list:
-        return [*node[:_CHILDREN], [bare(c) for c in node[_CHILDREN]]]
-
-    return json.dumps(bare(wrapper))
-
-
-def template(wrapper: list, share: float = 0.85, least: int = 3, links: float = 0.6) -> list:
+def template(wrapper: list, share: float = _SHARE, least: int = _LEAST, links: float = 0.6) -> list:
     """The wrapper with what is template in it: as furniture, nodes of which more than ``links`` is in links, and
     as texts only those on ``share`` of the at least ``least`` pages of their node.
 
@@ -414,42 +415,84 @@ def induce(pages: DataFrame, host: str, page: str, fan_in: int = 16) -> DataFram
     """(host, wrapper), staged: for each host what :func:`template` makes of the wrapper of all its pages, as JSON.
 
     Every task folds its pages into a wrapper for each host; the wrappers of ``fan_in`` neighbouring tasks are merged, round by
-    round. A wrapper's size is bounded, whatever the number of pages.
+    round, without their texts. Those are counted exactly: each is a row with the number of its node in the task's wrapper, and
+    the nodes of the last wrapper know which numbers were laid over one another in them. A wrapper grows with the kinds of blocks
+    of its host, not with its pages or texts.
     """
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        part = 0
+        part = texts = 0
+        numbers = itertools.count()
         for batch in batches:
             for name, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held[name] = merge([*([held[name]] if name in held else []), skeleton(parse(text))])
+                one = _of_page(text)
+                texts += sum(len(node[_TEXTS]) for node in _all(one))
+                held[name] = merge([held[name], one]) if name in held else one
+                if texts >= _TEXTS_HELD or len(held) >= 256:
+                    yield counts(held, part, numbers)
+                    texts = 0
                 if len(held) >= 256:
                     yield rows(held, part)
                     held = {}
+        yield counts(held, part, numbers)
         yield rows(held, part)
 
+    def counts(held: dict[str, list], part: int, numbers: Iterator[int]) -> pa.RecordBatch:
+        found: list[tuple[int, str, int]] = []
+        for node in itertools.chain.from_iterable(map(_all, held.values())):
+            if node[_TEXTS]:
+                node[_NODES] = node[_NODES] or [(part << 40) + next(numbers)]
+                found += [(node[_NODES][0], text, n) for text, n in node[_TEXTS].items()]
+                node[_TEXTS] = {}
+        number, text, n = zip(*found, strict=True) if found else ((), (), ())
+        none = pa.nulls(len(found), pa.string())
+        return pa.RecordBatch.from_arrays([none, pa.nulls(len(found), pa.int32()), none, pa.array(number, pa.int64()), pa.array(text, pa.string()), pa.array(n, pa.int64())],
+                                          names=["host", "part", "wrapper", "number", "text", "n"])
+
     def rows(held: dict[str, list], part: int) -> pa.RecordBatch:
-        columns = [list(held), [part] * len(held), [_dumps(w) for w in held.values()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["host", "part", "wrapper"])
+        none = pa.nulls(len(held), pa.int64())
+        columns = [pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int32()), pa.array([json.dumps(w) for w in held.values()], pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, none, pa.nulls(len(held), pa.string()), none], names=["host", "part", "wrapper", "number", "text", "n"])
 
     def joined(table: pa.Table) -> pa.Table:
         whole = merge(json.loads(x) for x in table.sort_by("part").column("wrapper").to_pylist())
         return pa.table({"host": table.column("host").slice(0, 1), "part": pa.array([table.column("part")[0].as_py() // fan_in], pa.int32()),
-                         "wrapper": pa.array([_dumps(whole)])})
+                         "wrapper": pa.array([json.dumps(whole)])})
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [(number, name, place, node[_PAGES]) for place, node in enumerate(_all(json.loads(wrapper))) for number in node[_NODES]]
+                yield pa.RecordBatch.from_pylist([dict(zip(places_schema.names, x, strict=True)) for x in found], schema=places_schema)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_dumps(template(json.loads(x))) for x in batch.column(1).to_pylist()]
+            made = []
+            for text, constants in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                wrapper = json.loads(text)
+                nodes = list(_all(wrapper))
+                for x in constants or ():
+                    nodes[x["place"]][_TEXTS][x["text"]] = x["n"]
+                made.append(json.dumps(template(wrapper)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
 
     schema = "host string, part int, wrapper string"
-    parts = staged(pages.select(host, F.coalesce(F.col(page), F.lit("")), F.spark_partition_id()).mapInArrow(fold, schema))
-    last = scalar(parts.agg(F.max("part")))[0] or 0
-    while True:
+    places_schema = pa.schema([("number", pa.int64()), ("host", pa.string()), ("place", pa.int32()), ("pages", pa.int64())])
+    folded = staged(pages.select(host, F.coalesce(F.col(page), F.lit("")), F.spark_partition_id()).mapInArrow(fold, schema + ", number long, text string, n long"))
+    parts = folded.where(F.col("wrapper").isNotNull()).select("host", "part", "wrapper")
+    last, first = scalar(parts.agg(F.max("part")))[0] or 0, True
+    while first or last:
         merged = staged(parts.groupBy("host", F.floor(F.col("part") / fan_in).alias("group")).applyInArrow(joined, schema))
-        drop_staged(parts)
-        parts, last = merged, last // fan_in
-        if not last:
-            return staged(parts.select("host", "wrapper").mapInArrow(judged, "host string, wrapper string"))
+        if not first:
+            drop_staged(parts)
+        parts, last, first = merged, last // fan_in, False
+    places = staged(parts.select("host", "wrapper").mapInArrow(numbered, "number long, host string, place int, pages long"))
+    seen = folded.where(F.col("number").isNotNull()).select("number", "text", "n").join(places.where(F.col("pages") >= _LEAST), "number")
+    constant = (seen.groupBy("host", "place", "pages", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= _SHARE * F.col("pages"))
+                .groupBy("host").agg(F.collect_list(F.struct("place", "text", "n")).alias("constants")))
+    out = staged(parts.join(constant, "host", "left").select("host", "wrapper", "constants").mapInArrow(judged, "host string, wrapper string"))
+    drop_staged(folded, places, parts)
+    return out
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -109,6 +109,29 @@ def test_pages_without_article(spark, fan_in):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [100_000, 50])
+def test_constant_texts_are_counted_exactly(spark, monkeypatch, held):
+    """A text on 170 of 200 pages of its place is template, one on 169 is not, whatever the number of other texts there."""
+    monkeypatch.setattr(wrappers, "_TEXTS_HELD", held)
+    rows = [(i, "http://a/", "<div>" + "<p>On 170" * (i < 170) + "<p>On 169" * (i < 169) + "".join(f"<p>Own text {k} of page {i}" for k in range(30)) + "</div>")
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for r in wrappers.extract(df).collect():
+        assert r.text == "\n".join(["On 169"] * (r.page_id < 169) + [f"Own text {k} of page {r.page_id}" for k in range(30)])
+
+
+def test_rare_blocks_are_kept_in_the_wrapper(spark):
+    """Of 400 pages, each with a block of another name, three have one whose text is the same on all three."""
+    def name(i):
+        return "q" + "".join(chr(97 + i // 26**k % 26) for k in range(2))
+
+    rare = {0: 1, 130: 2, 390: 3}
+    rows = [(i, "http://a/", f'<div class="{name(i)}"><p>Own text of page {i}</div>' + (f'<div class="zz"><p>On three pages<p>Not so {i}</div>' if i in rare else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    assert got == {i: f"Own text of page {i}" + (f"\nNot so {i}" if i in rare else "") for i in range(400)}
+
+
 def test_copied_pages_keep_their_text(spark):
     page = "<body><nav>m</nav><article><h1>T</h1><p>All pages say this.</p></article>"
     df = spark.createDataFrame([(i, "http://a/", page) for i in range(50)], "page_id long, url string, html string")
