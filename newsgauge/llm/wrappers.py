@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgauge.llm.ordering import scalar
@@ -63,6 +64,8 @@ _CELLS = 40_000
 _SHARE, _LEAST = 0.85, 3
 #: A task hands on the counts of its texts when it holds so many.
 _TEXTS_HELD = 100_000
+#: So many pages of a host, or bytes of them, share one copy of its wrapper when they meet it.
+_TOGETHER, _TOGETHER_BYTES = 256, 4_000_000
 
 
 class Node:
@@ -223,6 +226,12 @@ def _size(node: list) -> int:
     return 1 + sum(map(_size, node[_CHILDREN]))
 
 
+def _shared(left: list, right: list) -> list[int]:
+    """Where in ``left`` nodes are whose label is also in ``right``."""
+    labels = {y[_LABEL] for y in right}
+    return [i for i, x in enumerate(left) if x[_LABEL] in labels]
+
+
 def _rows(left: list, right: list) -> list[list[int]]:
     rows = [[0] * (len(right) + 1)]
     for x in left:
@@ -238,8 +247,8 @@ def _by_label(left: list, right: list) -> list[tuple[int, int]]:
     for k in reversed(range(len(right))):
         places.setdefault(right[k][_LABEL], []).append(k)
     out, at = [], 0
-    for i, x in enumerate(left):
-        free = places.get(x[_LABEL], [])
+    for i in _shared(left, right):
+        free = places[left[i][_LABEL]]
         while free and free[-1] < at:
             free.pop()
         if free:
@@ -255,7 +264,7 @@ def matching(a: list, b: list) -> int:
         return 1
     if len(left) * len(right) > _CELLS:
         return 1 + len(_by_label(left, right))
-    return 1 + _rows(left, right)[-1][-1]
+    return 1 + _rows([left[i] for i in _shared(left, right)], right)[-1][-1]
 
 
 def similarity(a: list, b: list) -> float:
@@ -268,8 +277,9 @@ def _pairs(left: list, right: list) -> list[tuple[int, int]]:
         return _by_label(left, right)
     if [x[_LABEL] for x in left] == [y[_LABEL] for y in right] and len({x[_LABEL] for x in left}) == len(left):
         return [(k, k) for k in range(len(left))]
-    rows, out = _rows(left, right), []
-    i, k = len(left), len(right)
+    at = _shared(left, right)
+    rows, out = _rows([left[i] for i in at], right), []
+    i, k = len(at), len(right)
     while i and k:
         if rows[i][k] == rows[i - 1][k]:
             i -= 1
@@ -277,7 +287,7 @@ def _pairs(left: list, right: list) -> list[tuple[int, int]]:
             k -= 1
         else:
             i, k = i - 1, k - 1
-            out.append((i, k))
+            out.append((at[i], k))
     return out[::-1]
 
 
@@ -505,17 +515,30 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).cast("string").alias("page"), host_of(url).alias("host"))
     wrappers = induce(rows, "host", "page")
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, list] = {}
+    types = dict(pages.dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if wrapper is not None and wrapper not in read:
-                    read = {} if len(read) >= 256 else read
-                    read[wrapper] = json.loads(wrapper)
-                texts.append(content(text or "", read.get(wrapper)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[key, url, "text"])
+            batch = batch.sort_by("host")
+            starts, size = [], 0
+            hosts = batch.column("host").to_pylist()
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("page")), 0).to_pylist()):
+                size += n
+                if not i or hosts[i] != hosts[i - 1] or i - starts[-1] >= _TOGETHER or size > _TOGETHER_BYTES:
+                    starts.append(i)
+                    size = n
+            ends = pa.array([*starts, len(hosts)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("key", "url", "page")]
+            yield pa.RecordBatch.from_arrays([pa.array([hosts[i] for i in starts], pa.string()), *lists], names=["host", "key", "url", "page"])
 
-    types = dict(pages.dtypes)
-    joined = rows.join(wrappers, "host", "left").select("key", "url", "page", "wrapper")
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[str] = []
+            for texts, wrapper in zip(batch.column("page"), batch.column("wrapper"), strict=True):
+                whole = json.loads(wrapper.as_py()) if wrapper.is_valid else None
+                made += [content(text or "", whole) for text in texts.as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column("key").flatten(), batch.column("url").flatten(), pa.array(made, pa.string())], names=[key, url, "text"])
+
+    packed = rows.mapInArrow(pack, f"host string, key array<{types[key]}>, url array<{types[url]}>, page array<string>")
+    joined = packed.join(wrappers, "host", "left").select("key", "url", "page", "wrapper")
     return joined.mapInArrow(take, f"`{key}` {types[key]}, `{url}` {types[url]}, text string")
