@@ -30,6 +30,14 @@ def summed(signed: DataFrame) -> DataFrame:
     return signed.groupBy(*POSTING).agg(F.sum("sign").cast("int").alias("sign"))
 
 
+def present(signed: DataFrame) -> DataFrame:
+    return summed(signed).where(F.col("sign") > 0)
+
+
+def ranges(signed: DataFrame) -> DataFrame:
+    return signed.repartitionByRange(*POSTING)
+
+
 class PostingIndex:
     """An index kept in a folder; what is written takes effect with its manifest entry, so a failed write changes nothing."""
 
@@ -37,19 +45,19 @@ class PostingIndex:
         self.spark, self.path, self.manifest = spark, path, Manifest(spark, os.path.join(path, "_manifest"))
 
     def _generation(self, signed: DataFrame, keep: list[str]) -> None:
+        """Writes ``signed``, whose equal postings are in one partition of a range, as a new generation."""
         folder = self.manifest.fresh("generation")
         # Files ordered by (kind, value): a lookup reads the files and row groups of its value only.
-        (signed.repartitionByRange("kind", "value", "item_id").sortWithinPartitions("kind", "value", "item_id")
-         .write.parquet(os.path.join(self.path, folder)))
+        signed.sortWithinPartitions(*POSTING).write.parquet(os.path.join(self.path, folder))
         self.manifest.commit([*keep, folder])
 
     def build(self, items: DataFrame) -> None:
         """All postings anew."""
-        self._generation(tag_index(items).withColumn("sign", F.lit(1)), [])
+        self._generation(ranges(tag_index(items).withColumn("sign", F.lit(1))), [])
 
     def apply(self, before: DataFrame, after: DataFrame) -> None:
         """A batch of changes: the changed items as they were and as they are."""
-        self._generation(deltas(before, after), self.manifest.entries())
+        self._generation(ranges(deltas(before, after)), self.manifest.entries())
 
     def update(self, items: DataFrame, changes: DataFrame, deleted: DataFrame, key: str = "id") -> None:
         """A batch of new or changed items and of ``deleted`` keys against the current ``items``."""
@@ -59,14 +67,14 @@ class PostingIndex:
     def compact(self) -> None:
         """The sum of all generations as one; the old folders may be deleted once no reader has them open."""
         if len(self.manifest.entries()) > 1:
-            self._generation(self._signed(), [])
+            self._generation(present(ranges(self._rows())), [])  # summed within the ranges, without another shuffle
 
-    def _signed(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
         folders = [os.path.join(self.path, f) for f in self.manifest.entries()]
-        rows = self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
-        return summed(rows).where(F.col("sign") > 0) if len(folders) > 1 else rows
+        return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
     def postings(self) -> DataFrame:
         """(kind, value, item_id) as after the newest batch. A condition on ``kind`` and ``value`` reaches the scans of all
         generations, since they are group keys."""
-        return self._signed().select(*POSTING)
+        rows = self._rows()
+        return (present(rows) if len(self.manifest.entries()) > 1 else rows).select(*POSTING)

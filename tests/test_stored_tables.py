@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgauge.operators import items as M
-from newsgauge.operators import writes
+from newsgauge.operators import postings, writes
 from newsgauge.operators.postings import PostingIndex, deltas
 from newsgauge.operators.snapshots import SnapshotChain
 from newsgauge.sources.inplace import VersionedTable
@@ -152,3 +152,11 @@ def test_partitions_of_any_name(spark, tmp_path):
     table.update_ids(df.where("id = 1"))
     table.delete_where(F.col("source").isNull() & (F.col("id") == 99))
     assert sorted((r.id, r.source) for r in table.read().collect()) == [(1, "a/b=c"), (2, None), (4, "")]
+
+
+def test_postings_are_summed_within_their_ranges(spark):
+    """A compaction moves each posting once: its sums need no shuffle besides that of the ranges."""
+    rows = [("tag", "x", "a", 1), ("tag", "x", "a", -1), ("tag", None, "b", 1), ("tag", None, "b", 1), ("epic", "x", "c", -1)]
+    out = postings.present(postings.ranges(spark.createDataFrame(rows * 50 + [("task", "y", "d", 1)], postings.SCHEMA)))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(out.collect(), key=str) == [("tag", None, "b", 100), ("task", "y", "d", 1)]
